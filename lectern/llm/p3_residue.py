@@ -32,7 +32,7 @@ EXEMPLARS: dict[str, list[str]] = {
     "template": [
         "add title here", "enter the paper title", "fill in your headline", "insert a heading", "put the document name", "supply a descriptive title",
         "type main title", "write your title", "please provide the title of the manuscript", "before submission", "as it should appear", "in this box", "required",
-        "click to edit master title style", "click here to enter text", "title of the paper: subtitle if needed", "paper title (style: paper title)",
+        "click to edit master title style", "click here to enter text", "title of the paper: subtitle if needed", "paper title (use style: paper title)",
         "enter paper title (max. 0 words)", "title goes here", "your title goes here", "running head goes here", "short title", "insert title here",
         "type the document title", "full title of your contribution", "a very long title placeholder for your submission", "replace this line with your title",
         "instructions for preparing your manuscript: put the title here", "todo: write title", "title to be decided", "title tbd", "no title yet", "untitled",
