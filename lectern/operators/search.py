@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .validate import let
+from ..functions.clean import let
 
 SHOWN_ABSTRACT = 400
 SORTS = ("relevance", "year_desc", "year_asc", "title", "tags")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import clean as C
 from ..functions import rules as R
+from ..functions.clean import let
 
 MIN_DF, MAX_SHARE = 12, 0.25
 MAX_KEYWORDS, MIN_SCORE = 3, 0.8
@@ -17,8 +20,20 @@ def paper_text() -> Column:
 
 
 def matched(text: Column, rules: dict[str, list[str]]) -> Column:
-    """The tags of which a pattern occurs in the text, in the rules' order."""
-    return F.array_compact(F.array(*[F.when(text.rlike("(?d)" + R.any_of(p)), F.lit(tag)) for tag, p in rules.items()]))
+    """The tags of which a pattern occurs in the text, in the rules' order.
+
+    A pattern is tried only where the text holds what each of its matches needs, which is a plain search for bytes.
+    """
+
+    def occurs(t: Column, p: str) -> Column:
+        need = R.needed(p)
+        hit = t.rlike("(?d)" + R.portable(p))
+        return F.contains(t, F.lit(need)) & hit if len(need) > 1 else hit
+
+    def tags(t: Column) -> Column:
+        return F.array_compact(F.array(*[F.when(reduce(Column.__or__, [occurs(t, p) for p in ps]), F.lit(tag)) for tag, ps in rules.items()]))
+
+    return let(text, tags)
 
 
 def _map(table: dict[str, list[str]], key: Column) -> Column:

@@ -2,18 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import clean as C
 from ..functions import rules as R
-
-def let(value: Column, f: Callable[[Column], Column]) -> Column:
-    """``f(value)``, with ``value`` worked out once."""
-    return F.element_at(F.transform(F.array(value), f), 1)
-
+from ..functions.clean import let
 
 MIN_ABSTRACT = 80
 NEEDS_LOOKUP = ("title_is_filename", "junk_title", "missing_abstract", "missing_pub_year", "invalid_arxiv_id", "suspicious_tag", "folder_topic_mismatch")
