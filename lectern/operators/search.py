@@ -99,7 +99,7 @@ def page(found: DataFrame, query: str, sort: str, offset: int, limit: int) -> Da
 
 def facet_counts(found: DataFrame, most: int = 35) -> DataFrame:
     """``(tag, n)`` of the most frequent tags of what was found."""
-    return found.select(F.explode("tags").alias("tag")).groupBy("tag").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "tag").limit(most)
+    return found.select(F.explode_outer("tags").alias("tag")).where("tag is not null").groupBy("tag").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "tag").limit(most)
 
 
 def bookmark_matches(query: str) -> Column:

@@ -37,7 +37,7 @@ def quarter_of(year: Column, month: Column) -> Column:
 def evolution(layers: DataFrame) -> DataFrame:
     """``(quarter, topic, n)``; a missing year is that of the file's birth. Records without a topic count nowhere."""
     y = F.coalesce("pub_year", F.year("birthtime"))
-    return layers.where(y.isNotNull()).select(quarter_of(y, F.col("pub_month")).alias("quarter"), F.explode("topic").alias("topic")).groupBy("quarter", "topic").agg(F.count("*").alias("n"))
+    return layers.where(y.isNotNull()).select(quarter_of(y, F.col("pub_month")).alias("quarter"), F.explode_outer("topic").alias("topic")).where("topic is not null").groupBy("quarter", "topic").agg(F.count("*").alias("n"))
 
 
 def month_of(seconds: Column) -> Column:

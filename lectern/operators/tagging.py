@@ -98,9 +98,12 @@ def tagged(papers: DataFrame, key: str = "paper_id") -> DataFrame:
 
 
 def long_tags(layers: DataFrame, key: str = "paper_id") -> DataFrame:
-    """``(key, layer, tag, ord)`` of the rule layers."""
+    """``(key, layer, tag, ord)`` of the rule layers.
+
+    The outer form of explode keeps Spark from filtering by the array first, which would match every rule twice.
+    """
     each = F.array(*[F.struct(F.lit(x).alias("layer"), F.col(x).alias("tags")) for x in R.LAYERS])
-    return layers.select(key, F.inline(each)).select(key, "layer", F.posexplode("tags").alias("ord", "tag"))
+    return layers.select(key, F.inline(each)).select(key, "layer", F.posexplode_outer("tags").alias("ord", "tag")).where("tag is not null")
 
 
 def cooccurrence(layers: DataFrame, key: str = "paper_id") -> DataFrame:
@@ -110,7 +113,7 @@ def cooccurrence(layers: DataFrame, key: str = "paper_id") -> DataFrame:
     """
     t = F.concat("topic", "method", "task")
     pairs = F.flatten(F.transform(t, lambda a, i: F.transform(F.filter(t, lambda b, j: j != i), lambda b: F.struct(a.alias("tag_a"), b.alias("tag_b")))))
-    return layers.select(F.inline(pairs)).groupBy("tag_a", "tag_b").agg(F.count("*").alias("n"))
+    return layers.select(F.inline_outer(pairs)).where("tag_a is not null").groupBy("tag_a", "tag_b").agg(F.count("*").alias("n"))
 
 
 def top_cooccurrence(pairs: DataFrame, tags: int = 60, partners: int = 20) -> DataFrame:

@@ -291,7 +291,7 @@ def top_cooccurrence(spark: SparkSession, d: str) -> DataFrame:
 def tag_heatmap(spark: SparkSession, d: str) -> DataFrame:
     """The 18 most frequent tags against each other; on the diagonal their own counts."""
     lay = _layers(spark, d)
-    top = lay.select(F.explode(F.concat("topic", "method", "task")).alias("t")).groupBy("t").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "t").limit(18)
+    top = lay.select(F.explode_outer(F.concat("topic", "method", "task")).alias("t")).where("t is not null").groupBy("t").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "t").limit(18)
     rows = top.agg(F.collect_list(F.struct("t", "n")).alias("all"))  # 18 at most
     grid = rows.select(F.explode("all").alias("a"), "all").select("a", F.explode("all").alias("b")).select(F.col("a.t").alias("tag_a"), F.col("b.t").alias("tag_b"), F.col("a.n").alias("own"))
     n = grid.join(tagging.cooccurrence(lay), ["tag_a", "tag_b"], "left")
@@ -300,7 +300,7 @@ def tag_heatmap(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH l AS MATERIALIZED (SELECT * FROM {S.layers()}), x AS (SELECT unnest(topic) AS tag, pub_year FROM l WHERE pub_year IS NOT NULL) SELECT tag, pub_year, count(*) AS n FROM x GROUP BY ALL""")
 def tag_years(spark: SparkSession, d: str) -> DataFrame:
-    return _layers(spark, d).where("pub_year is not null").select(F.explode("topic").alias("tag"), "pub_year").groupBy("tag", "pub_year").agg(F.count("*").alias("n"))
+    return _layers(spark, d).where("pub_year is not null").select(F.explode_outer("topic").alias("tag"), "pub_year").where("tag is not null").groupBy("tag", "pub_year").agg(F.count("*").alias("n"))
 
 
 # --- counts ------------------------------------------------------------------------------------------------------
@@ -454,7 +454,7 @@ def confidence(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT type, count(*) AS n FROM (SELECT unnest(types) AS type FROM {S.validated(AS_OF)}) GROUP BY type")
 def issue_counts(spark: SparkSession, d: str) -> DataFrame:
-    return validate.validated(_layers(spark, d), AS_OF).select(F.explode("issues.type").alias("type")).groupBy("type").agg(F.count("*").alias("n"))
+    return validate.validated(_layers(spark, d), AS_OF).select(F.explode_outer(F.transform("issues", lambda i: i.type)).alias("type")).where("type is not null").groupBy("type").agg(F.count("*").alias("n"))
 
 
 @query(f"SELECT paper_id, confidence, len(types) AS n_issues FROM {S.validated(AS_OF)} ORDER BY confidence, n_issues DESC, paper_id LIMIT 50")
