@@ -101,7 +101,7 @@ def repaired_dates(spark: SparkSession, d: str) -> DataFrame:
 _STEM = r"regexp_extract(stem, '(?:^|[_.\-])(20[0-9]{2})(?:[_.\-]|\z)', 1)"
 
 
-@query(f"""SELECT paper_id, {S.valid_id('arxiv_id', AS_OF)} AS valid, coalesce(arxiv_id <> '' AND NOT {S.valid_id('arxiv_id', AS_OF)}, false) AS invalid,
+@query(rf"""SELECT paper_id, {S.valid_id('arxiv_id', AS_OF)} AS valid, coalesce(arxiv_id <> '' AND NOT {S.valid_id('arxiv_id', AS_OF)}, false) AS invalid,
   CASE WHEN {S.valid_id('arxiv_id', AS_OF)} THEN (CASE WHEN substr({S.stripped('arxiv_id')}, 1, 2)::INT >= 91 THEN 1900 ELSE 2000 END + substr({S.stripped('arxiv_id')}, 1, 2)::INT) END AS id_year,
   CASE WHEN try_cast(nullif({_STEM}, '') AS INT) BETWEEN 1990 AND {AS_OF} THEN try_cast({_STEM} AS INT) END AS stem_year,
   CASE WHEN {S.valid_id(r"regexp_extract(stem, '^([0-9]{4}[.][0-9]{4,5})(?:v[0-9]+)?\z', 1)", AS_OF)} THEN regexp_extract(stem, '^([0-9]{{4}}[.][0-9]{{4,5}})(?:v[0-9]+)?\z', 1) END AS stem_id

@@ -61,7 +61,7 @@ def title_tokens(c: str) -> str:
 
 
 def url_key(c: str) -> str:
-    return f"lower(regexp_replace(regexp_replace({c}, '/+\z', ''), '#.*', ''))"
+    return rf"lower(regexp_replace(regexp_replace({c}, '/+\z', ''), '#.*', ''))"
 
 
 def month_key() -> str:

@@ -19,10 +19,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scan_files(spark: SparkSession, library: str, root: str, pattern: str = "*.pdf") -> DataFrame:
     """The files of one library without their contents: path, relative path, folder, stem, size, time, cache key.
 
-    Only the listing is read; excluded folders are dropped before anything is opened.
+    Only the listing is read; excluded folders are dropped before anything is opened. A scan leaves empty files out, so
+    those come from the listing itself, with a null time.
     """
     f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
-    f = f.select("path", F.col("length").alias("size_bytes"), F.col("modificationTime").alias("mtime")).where(~F.contains("path", F.lit(EXCLUDED)))
+    listed = f.select("path").inputFiles()
+    f = f.select("path", F.col("length").alias("size_bytes"), F.col("modificationTime").alias("mtime"))
+    if listed:
+        every = spark.createDataFrame([(x,) for x in listed], "listed string").select(F.regexp_replace("listed", "^file:/+", "file:/").alias("path"))
+        empty = every.join(f.select("path"), "path", "left_anti")
+        f = f.unionByName(empty.select("path", F.lit(0).cast("long").alias("size_bytes"), F.lit(None).cast("timestamp").alias("mtime")))
+    f = f.where(~F.contains("path", F.lit(EXCLUDED)))
     rel = F.regexp_replace(F.regexp_replace("path", r"^file:/+", "/"), "^" + root.rstrip("/").replace(".", r"\.") + "/", "")
     stem = F.regexp_replace(F.regexp_extract(rel, r"([^/]*)$", 1), r"\.[^.]*$", "")
     folder = F.when(F.contains(rel, F.lit("/")), F.substring_index(rel, "/", 1)).otherwise("_root")
@@ -98,9 +105,9 @@ def atom_entry(xml: Column) -> Column:
 
 def tagged_response(raw: Column) -> Column:
     """Tags out of a model's answer: a code fence is taken off; a list, or an object with one in ``items``."""
-    body = F.trim(F.regexp_replace(F.regexp_replace(raw, r"(?s)^\s*```(?:json)?", ""), r"```\s*$", ""))
+    body = C.stripped(F.regexp_replace(F.regexp_replace(raw, r"(?s)^\s*```(?:json)?", ""), r"```\s*\z", ""))
     item = "array<struct<id:string,tags:array<string>>>"
-    return F.coalesce(F.from_json(body, item), F.from_json(body, f"items {item}").getField("items"))
+    return F.when(F.startswith(body, F.lit("[")), F.from_json(body, item)).otherwise(F.from_json(body, f"items {item}").getField("items"))
 
 
 def write_version(df: DataFrame, root: str, version: str) -> str:
