@@ -7,6 +7,7 @@ labels; the grades' cut points are calibrated on predictions for sources the tre
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,63 +53,61 @@ class _Words(dict):
         return v
 
 
-def is_english(text: str, words: list[str], cache: dict[str, tuple[int, int, int]]) -> bool:
+def is_english(text: str, kinds: list[int]) -> bool:
     """By the text: written in Latin letters, and without more function words of other languages than English ones.
 
-    Dense English may do without function words, so none are asked for.
+    Dense English may do without function words, so none are asked for. ``kinds`` are the words' classes.
     """
-    if not words:
+    if not kinds:
         return False
     han = 0 if text.isascii() else len(_HAN.findall(text))
-    kinds = [cache[w][2] for w in words]
     foreign, own = sum(k >= 16 for k in kinds), sum(k & 1 for k in kinds)
-    return han * 2 < len(words) and not (foreign > own and foreign >= 0.04 * len(words))
+    return han * 2 < len(kinds) and not (foreign > own and foreign >= 0.04 * len(kinds))
 
 
-def features(text: str, cache: dict[str, tuple[int, int, int]]) -> list[float] | None:
+_STEPS = np.array((2, 5, 8, 11, 14, 18, 24), float)
+_NO_DIGITS = {ord(c): None for c in "0123456789"}
+_ASIDE = ("|", "#", "```", ">", "http")
+
+
+def features(text: str, cache: dict[str, tuple[int, int, int]]) -> np.ndarray | None:
     """The features of an English document of MIN_WORDS words or more; None for others."""
     if len(text.split()) < MIN_WORDS:
         return None
     low = text.lower()
-    words = _WORD.findall(low)
-    if not is_english(low, words, cache):
+    lines = [x for x in low.replace("\r\n", "\n").replace("\r", "\n").split("\n") if x and not x.isspace()]
+    plain = [x for x in lines if not x.lstrip().startswith(_ASIDE)]
+    sents = [(s, w) for s in _SENTENCE.split("\n\n".join(plain)) if len(w := _WORD.findall(s)) >= 3] or [(low, _WORD.findall(low))]
+    flat = [x for _, w in sents for x in w]
+    if not flat:
         return None
-    lines = [x for x in low.replace("\r\n", "\n").replace("\r", "\n").split("\n") if x.strip()]
-    plain = [x for x in lines if not x.lstrip().startswith(("|", "#", "```", ">", "http"))]
-    sents = [(s, w) for s in _SENTENCE.split("\n\n".join(plain)) if len(w := _WORD.findall(s)) >= 3]
-    if not sents:
-        sents = [(low, words)]
+    known = [cache[x] for x in flat]
+    if not is_english(low, [k[2] for k in known]):
+        return None
+    letters, syl, cls = np.array(known, np.int32).T
     n = np.array([len(w) for _, w in sents])
-    info = np.array([cache[x] for _, w in sents for x in w], np.int32)
-    at = np.concatenate([[0], np.cumsum(n)[:-1]])
-    letters, syl, cls = info[:, 0], info[:, 1], info[:, 2]
-    per = lambda v: np.add.reduceat(v.astype(float), at) / n
-    mean_len, mean_syl, long = per(letters), per(syl), per(letters >= 8)
-    very, sub, fun = per(letters >= 11), np.add.reduceat((cls & 2) > 0, at, dtype=float), per((cls & 1) > 0)
+    at = np.cumsum(n) - n
+    total = len(flat)
+    counts = np.stack([letters, syl, letters >= 8, letters >= 11, (cls & 2) > 0, (cls & 1) > 0]).astype(float)
+    sums = np.add.reduceat(counts, at, axis=1)
+    mean_len, mean_syl, long, very = sums[:4] / n
+    sub, fun = sums[4], sums[5] / n
     commas = np.array([s.count(",") for s, _ in sents], float)
     grade = 0.39 * n + 11.8 * mean_syl - 15.59
-    out: list[float] = []
-    for v in (n, mean_len, mean_syl, long, very, grade):
-        out += np.quantile(v, _QUANTILES).tolist()
-        out.append(float(v.mean()))
+    spread = np.stack([n.astype(float), mean_len, mean_syl, long, very, grade])
+    out = [np.quantile(spread, _QUANTILES, axis=1).T.ravel(), spread.mean(1)]
     # the share of sentences in each step of difficulty, by sentences and by words
-    for step in (2, 5, 8, 11, 14, 18, 24):
-        hard = grade >= step
-        out += [float(hard.mean()), float((hard * n).sum() / n.sum())]
-    total = len(letters)
-    hist = np.bincount(np.minimum(letters, 16), minlength=17) / total
-    out += hist[1:].tolist()
-    out += (np.bincount(np.minimum(syl, 7), minlength=8) / total)[1:].tolist()
-    flat = [x for _, w in sents for x in w]
-    types, counts = np.unique(np.array(flat), return_counts=True)
-    out += [len(types) / np.sqrt(total), float((counts == 1).mean()), float(((counts / total) ** 2).sum())]
-    out += [float(sub.mean()), float((sub > 0).mean()), float(commas.mean()), float(commas.sum() / total), float(fun.mean())]
-    content = [{x for x in w if cache[x][2] == 8} for _, w in sents]
-    link = [len(a & b) / max(1, min(len(a), len(b))) for a, b in zip(content, content[1:])]
-    out += [float(np.mean(link)) if link else 0.0, float(np.mean([x > 0 for x in link])) if link else 0.0]
-    out += [float(((cls & 4) > 0).sum() / total), sum(c.isdigit() for c in low) / len(low), low.count("!") / len(sents), low.count("-") / total]
-    out += [len(plain) / max(1, len(lines)), total / max(1, len(plain)), float(np.log(total)), float(np.log(len(sents)))]
-    return out
+    hard = grade[None, :] >= _STEPS[:, None]
+    out += [hard.mean(1), (hard * n).sum(1) / total]
+    out += [np.bincount(np.minimum(letters, 16), minlength=17)[1:] / total, np.bincount(np.minimum(syl, 7), minlength=8)[1:] / total]
+    types = np.array(list(Counter(flat).values()))
+    rest = [len(types) / np.sqrt(total), (types == 1).mean(), ((types / total) ** 2).sum()]
+    rest += [sub.mean(), (sub > 0).mean(), commas.mean(), commas.sum() / total, fun.mean()]
+    content = [{x for x, k in zip(flat[i : i + m], known[i : i + m]) if k[2] == 8} for i, m in zip(at.tolist(), n.tolist())]
+    link = np.array([len(a & b) / max(1, min(len(a), len(b))) for a, b in zip(content, content[1:])] or [0.0])
+    rest += [link.mean(), (link > 0).mean(), ((cls & 4) > 0).sum() / total, 1 - len(low.translate(_NO_DIGITS)) / len(low), low.count("!") / len(sents), low.count("-") / total]
+    rest += [len(plain) / max(1, len(lines)), total / max(1, len(plain)), np.log(total), np.log(len(sents))]
+    return np.concatenate([*out, rest]).astype(np.float32)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,7 +117,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             if (f := features(text, cache)) is not None:
                 ids.append(i)
-                rows.append(np.array(f, np.float32))
+                rows.append(f)
         flat = np.concatenate(rows) if rows else np.empty(0, np.float32)
         at = np.arange(len(rows) + 1, dtype=np.int32) * (len(rows[0]) if rows else 0)
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], names=["doc_id", "f"])
