@@ -120,7 +120,8 @@ def normalized_titles(spark: SparkSession, d: str) -> DataFrame:
     return papers(spark, d).select("paper_id", C.normalized_title(t).alias("norm"), F.array_join(C.title_tokens(t), " ").alias("toks"))
 
 
-@query()
+@query(r"""SELECT scan_id, CASE WHEN length(t) >= 3 AND NOT regexp_matches(t, '^[0-9\s.\-]+$') THEN t END AS title FROM
+  (SELECT scan_id, trim(regexp_replace(regexp_replace(stem, '^[0-9]{4}\.[0-9]{4,5}(?:v[0-9]+)?[_\-]*', ''), '[_\-]+', ' ', 'g')) AS t FROM scan_records)""")
 def stem_titles(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "scan_records").select("scan_id", C.title_from_stem(F.col("stem")).alias("title"))
 
