@@ -113,9 +113,9 @@ def terms(prepared_text: str) -> list[str]:
     """Words and, in Chinese, pairs of neighbouring characters; any number is one zero, any host name one word."""
     t = re.sub(r"\d+", "0", _SITE.sub(" site ", prepared_text))
     parts = t.split()
-    if len(parts) >= 5 and sum(len(x) == 1 for x in parts) >= 0.7 * len(parts):
-        whole = _SITE.sub(" site ", "".join(prepared_text.split()))
-        t = " ".join(w for x in re.findall(r"[^\W_]+", re.sub(r"\d+", "0", whole)) for w in ([x] if re.search("[\u3040-\u9fff]", x) else _respaced(x)))
+    if len(parts) >= 4 and sum(len(x) == 1 for x in parts) >= 0.7 * len(parts):
+        whole = re.sub(r"\d+", "0", _SITE.sub(" site ", "".join(prepared_text.split())))
+        t = " ".join(w for x in _RUN.findall(whole) for w in ([x] if x[0] >= "\u3040" else _respaced(x)))
     out = []
     for run in _RUN.findall(t):
         if "\u3040" <= run[0] <= "\u9fff" and len(run) > 1:
