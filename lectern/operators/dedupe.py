@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import clean as C
 from ..runtime import Stored
 from .clean import with_junk
+from .skew import lookup
 
 THRESHOLD = 0.92
 MIN_TITLE = 10
@@ -21,16 +22,22 @@ def dedupe_keys(papers: DataFrame, as_of: int) -> DataFrame:
     )
 
 
-def _stars(rows: DataFrame, key: str) -> DataFrame:
-    least = rows.groupBy(key).agg(F.min("paper_id").alias("b"), F.max("paper_id").alias("last")).where("b <> last")
-    return rows.select(key, F.col("paper_id").alias("a")).join(least, key).where("a <> b").select("a", "b")
+def _stars(rows: DataFrame, key: Column, only: Column | None = None) -> DataFrame:
+    """``(a, b)``: each record tied to the least record of its key. ``only`` tests a key, by its ``ids`` as well.
+
+    A key of any size is allowed: its least record is found with map-side combining and looked up as a hot key.
+    """
+    r = rows.select(key.alias("k"), "paper_id", "wid")
+    least = r.groupBy("k").agg(F.min("paper_id").alias("b"), F.max("paper_id").alias("last"), F.count("*").alias("n"), F.count_distinct("wid").alias("ids"))
+    least = Stored(least.where("b <> last" if only is None else (F.col("b") != F.col("last")) & only).select("k", "b", "n"), "stars").df
+    total, hottest = least.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    return lookup(r.select("k", F.col("paper_id").alias("a")), least, "k", "n", total, hottest).where("a <> b").select("a", "b")
 
 
 def exact_edges(keys: DataFrame) -> DataFrame:
     """Records of one id; records of one normalized title of more than MIN_TITLE characters with at most one id among them."""
-    named = keys.where(F.length("norm") > MIN_TITLE)
-    clear = named.groupBy("norm").agg(F.count_distinct("wid").alias("ids")).where("ids <= 1").select("norm")
-    return _stars(keys.where("wid is not null"), "wid").unionByName(_stars(named.join(clear, "norm", "left_semi"), "norm"))
+    by_id = _stars(keys.where("wid is not null"), F.col("wid"))
+    return by_id.unionByName(_stars(keys.where(F.length("norm") > MIN_TITLE), F.col("norm"), F.col("ids") <= 1))
 
 
 def mismatches(m: Column) -> Column:
@@ -61,9 +68,8 @@ def similar_edges(keys: DataFrame) -> DataFrame:
 
 def _equal_set_edges(k: DataFrame) -> DataFrame:
     """Within one token set: records of one id, and records without an id with everything (they conflict with nothing)."""
+    inner = _stars(k, F.struct("toks", "wid"))
     by_id = k.groupBy("toks", "wid").agg(F.min("paper_id").alias("b"))
-    own = k.join(by_id.withColumnRenamed("toks", "t2").withColumnRenamed("wid", "w2"), (F.col("toks") == F.col("t2")) & F.col("wid").eqNullSafe(F.col("w2")))
-    inner = own.where("paper_id <> b").select(F.col("paper_id").alias("a"), "b")
     free = by_id.where("wid is null").select("toks", F.col("b").alias("free"))
     across = by_id.where("wid is not null").join(free, "toks").select(F.col("b").alias("a"), F.col("free").alias("b"))
     return inner.unionByName(across)
@@ -140,6 +146,6 @@ def kept_records(papers: DataFrame, groups: DataFrame, as_of: int) -> DataFrame:
 
 def unique_bookmarks(items: DataFrame) -> DataFrame:
     """One item for each address key: the latest date, then the longest title, then the least id. Null addresses go."""
-    best = F.max(F.struct(F.coalesce("date_added", F.lit(0)).alias("d"), F.length(F.coalesce("title", F.lit(""))).alias("l"), (-F.col("item_id")).alias("i"), "title", "url"))
+    best = F.max(F.struct(F.coalesce("date_added", F.lit(0)).alias("d"), F.length(F.coalesce("title", F.lit(""))).alias("l"), (-F.col("item_id")).alias("i"), "title"))
     g = items.where("url is not null").groupBy(C.url_key(F.col("url")).alias("url_key")).agg(best.alias("b"), F.min("item_id").alias("first_id"), F.count("*").alias("n"))
     return g.select("url_key", (-F.col("b.i")).alias("item_id"), F.col("b.d").alias("date_added"), F.col("b.title").alias("title"), "first_id", "n")

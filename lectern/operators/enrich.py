@@ -32,6 +32,6 @@ def first_clean(candidates: list[Column], junk: list[Column]) -> Column:
 
 def latest_or_previous(fetched: DataFrame, previous: DataFrame, cols: list[str]) -> DataFrame:
     """One row of counters: the newest fetch, each counter it lacks from the newest snapshot before."""
-    newest = lambda d: d.agg(*[F.max_by(c, "generated_at").alias(c) for c in ("generated_at", *cols)])
-    a, b = newest(fetched), newest(previous).toDF("p_at", *[f"p_{c}" for c in cols])
-    return a.join(b).select(F.coalesce("generated_at", "p_at").alias("generated_at"), *[F.coalesce(c, f"p_{c}").alias(c) for c in cols])
+    both = fetched.select("generated_at", *cols, F.lit(True).alias("now")).unionByName(previous.select("generated_at", *cols, F.lit(False).alias("now")))
+    of = lambda c, now: F.max_by(F.when(F.col("now") == now, F.col(c)), F.when(F.col("now") == now, F.col("generated_at")))
+    return both.agg(*[F.coalesce(of(c, True), of(c, False)).alias(c) for c in ("generated_at", *cols)])

@@ -53,7 +53,7 @@ def dense_tag_months(items: DataFrame, tags: int = 15) -> DataFrame:
     n = x.groupBy("tag", "month").agg(F.count("*").alias("n"))
     top = n.groupBy("tag").agg(F.sum("n").alias("all")).orderBy(F.desc("all"), "tag").limit(tags).select("tag")
     months = n.select("month").distinct().agg(F.array_sort(F.collect_set("month")).alias("ms"))
-    grid = top.join(F.broadcast(months)).select("tag", F.explode("ms").alias("month"))
+    grid = top.select("tag", F.explode(months.scalar()).alias("month"))
     return grid.join(n, ["tag", "month"], "left").select("tag", "month", F.coalesce("n", F.lit(0)).alias("n"))
 
 
