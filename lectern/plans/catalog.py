@@ -265,7 +265,21 @@ def layer_coverage(spark: SparkSession, d: str) -> DataFrame:
     return validate.layer_coverage(_layers(spark, d))
 
 
-@query()
+def _canon(x: str) -> str:
+    return f"CASE lower({x}) " + " ".join(f"WHEN {S.q(a)} THEN {S.q(t)}" for a, t in R.TAG_ALIASES.items()) + f" ELSE {x} END"
+
+
+_CATEGORY = "CASE coalesce(arxiv_cat, '') " + " ".join(f"WHEN {S.q(c)} THEN [{S.q(t)}]" for c, t in R.CATEGORY_TAGS.items()) + " ELSE []::VARCHAR[] END"
+
+
+@query(f"""WITH {_VOCAB}, tf AS (SELECT paper_id, term, count(*) AS tf, min(pos) AS pos FROM (SELECT paper_id, unnest(ts) AS term, generate_subscripts(ts, 1) AS pos FROM toks) GROUP BY ALL),
+  sc AS (SELECT paper_id, term, pos, round((1 + ln(tf)) * idf, 9) AS score FROM tf JOIN vocab USING (term)),
+  kw AS (SELECT paper_id, list(term ORDER BY r) AS kws FROM (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY score DESC, pos) AS r FROM sc WHERE score > 0.8) WHERE r <= 3 GROUP BY paper_id),
+  l AS (SELECT paper_id, list_concat(topic, method, task, modality, folder_tags, {_CATEGORY}) AS s, coalesce(kws, []) AS kws FROM {S.layers()} LEFT JOIN kw USING (paper_id)),
+  k AS (SELECT paper_id, s, list_filter(kws, lambda x: NOT list_contains(list_transform(s, lambda t: lower({_canon('t')})), lower({_canon('x')}))) AS keyword FROM l),
+  e AS (SELECT paper_id, keyword, list_transform(list_concat(s, keyword), lambda t: {_canon('t')}) AS every FROM k)
+  SELECT paper_id, CASE WHEN len(every) = 0 THEN 'Uncategorized' ELSE array_to_string(list_filter(every, lambda x, i: list_position(list_transform(every, lambda t: lower(t)), lower(x)) = i), '|') END AS all_tags,
+    array_to_string(keyword, '|') AS keyword FROM e""")
 def all_tags(spark: SparkSession, d: str) -> DataFrame:
     """Every record with its tags of all layers, keywords included."""
     return tagging.tagged(papers(spark, d)).select("paper_id", F.array_join("all_tags", "|").alias("all_tags"), F.array_join("keyword", "|").alias("keyword"))
