@@ -93,12 +93,36 @@ def exclusion_counts(spark: SparkSession, d: str) -> DataFrame:
     return clean.excluded(papers(spark, d)).groupBy("exclude_reason").agg(F.count("*").alias("n"))
 
 
-@query()
+_STEM = r"regexp_extract(stem, '(?:^|[_.\-])(20[0-9]{2})(?:[_.\-]|\z)', 1)"
+_STEM_ID = r"regexp_extract(stem, '^([0-9]{4}[.][0-9]{4,5})(?:v[0-9]+)?\z', 1)"
+
+
+def _id_part(c: str, part: str) -> str:
+    y = f"substr({S.stripped(c)}, 1, 2)::INT"
+    return f"(CASE WHEN {y} >= 91 THEN 1900 ELSE 2000 END + {y})" if part == "year" else f"substr({S.stripped(c)}, 3, 2)::INT"
+
+
+@query(f"""WITH a AS (SELECT *, {S.valid_id('arxiv_id', AS_OF)} AS valid, CASE WHEN {S.valid_id(_STEM_ID, AS_OF)} THEN {_STEM_ID} END AS named,
+    CASE WHEN try_cast(nullif({_STEM}, '') AS INT) BETWEEN 1990 AND {AS_OF} THEN try_cast({_STEM} AS INT) END AS named_year FROM library_papers),
+  b AS (SELECT *, valid AND (pub_date_source IS NULL OR pub_date_source = 'arxiv_id') AS by_id, (NOT valid AND coalesce(pub_date_source IN ('arxiv_id', 'arxiv_api'), false))
+    OR coalesce(NOT valid AND regexp_matches(arxiv_id, '^[0-9]{{4}}[.]') AND pub_date_source IS NULL AND pub_year = 2000 + try_cast(substr(arxiv_id, 1, 2) AS INT)
+      AND (pub_month IS NULL OR pub_month = try_cast(substr(arxiv_id, 3, 2) AS INT)), false) AS gone FROM a),
+  c AS (SELECT *, CASE WHEN by_id THEN {_id_part('arxiv_id', 'year')} WHEN NOT gone THEN pub_year END AS y1, CASE WHEN by_id THEN {_id_part('arxiv_id', 'month')} WHEN NOT gone THEN pub_month END AS m1,
+    CASE WHEN NOT gone THEN pub_date_source END AS s1 FROM b),
+  d AS (SELECT *, NOT valid AND NOT coalesce(y1 BETWEEN 1990 AND {AS_OF}, false) AS bad FROM c),
+  e AS (SELECT *, CASE WHEN NOT bad THEN y1 END AS y, CASE WHEN NOT bad THEN m1 END AS m, CASE WHEN NOT (bad AND (s1 IS NULL OR s1 IN ('arxiv_id', 'arxiv_api'))) THEN s1 END AS s,
+    CASE WHEN valid THEN {S.stripped('arxiv_id')} END AS aid FROM d),
+  f AS (SELECT *, aid IS NULL AND named IS NOT NULL AND y IS NULL AS by_name, y IS NULL AND named_year IS NOT NULL AS by_year FROM e)
+  SELECT paper_id, coalesce(aid, named) AS arxiv_id, CASE WHEN by_name THEN {_id_part('named', 'year')} WHEN by_year THEN named_year ELSE y END AS pub_year,
+    CASE WHEN by_name THEN {_id_part('named', 'month')} ELSE m END AS pub_month, CASE WHEN by_name THEN 'arxiv_id' WHEN by_year THEN 'filename' ELSE s END AS pub_date_source FROM f""")
 def repaired_dates(spark: SparkSession, d: str) -> DataFrame:
-    return clean.repaired_dates(papers(spark, d), AS_OF).select("paper_id", "arxiv_id", "pub_year", "pub_month", "pub_date_source", "needs_review")
+    return clean.repaired_dates(papers(spark, d), AS_OF).select("paper_id", "arxiv_id", "pub_year", "pub_month", "pub_date_source")
 
 
-_STEM = r"regexp_extract(stem, '(?:^|[_.\-])(20[0-9]{2})(?:[_.\-]|\z)', 1)"
+@query()
+def review_marks(spark: SparkSession, d: str) -> DataFrame:
+    """(paper_id, needs_review) after the repair of the dates."""
+    return clean.repaired_dates(papers(spark, d), AS_OF).select("paper_id", "needs_review")
 
 
 @query(rf"""SELECT paper_id, {S.valid_id('arxiv_id', AS_OF)} AS valid, coalesce(arxiv_id <> '' AND NOT {S.valid_id('arxiv_id', AS_OF)}, false) AS invalid,
