@@ -1,6 +1,8 @@
 import itertools
 import json
+import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -96,6 +98,43 @@ def test_similar_rows(spark):
     assert best[1] == 2 and best[2] == 1 and best[3] == 4 and 5 not in best
 
 
+def brute_neighbours(rows, asked):
+    n, bags = len(rows), {i: Counter(t) for i, t in rows}
+    df = Counter(t for b in bags.values() for t in b)
+    w = {i: {t: (1 + math.log(f)) * math.log((n + 1) / (df[t] + 1)) for t, f in b.items() if 2 <= df[t] <= 0.65 * n} for i, b in bags.items()}
+    w = {i: {t: x / math.sqrt(sum(y * y for y in v.values())) for t, x in v.items()} for i, v in w.items()}
+    out = {}
+    for i in asked:
+        shared = sorted((-len(w[i].keys() & v.keys()), j) for j, v in w.items() if j != i and w[i].keys() & v.keys())[: graph.CANDIDATES]
+        out[i] = sorted(((-round(sum(x * w[j].get(t, 0.0) for t, x in w[i].items()), 4), j) for _, j in shared))[: graph.NEIGHBOURS]
+    return {i: x for i, x in out.items() if x}
+
+
+def test_similar_rows_by_frequent_terms(spark, monkeypatch):
+    """Terms in more than 400 rows count, in any number of passes and of rows that are told apart late."""
+    rng = random.Random(1)
+    words = [f"w{i}" for i in range(30)]
+    rows = [(i, rng.choices(words, k=rng.choice([5, 12, 30]))) for i in range(1300)]
+    rows += [(1300, [f"u{i}" for i in range(700)] + words), (1301, [f"u{i}" for i in range(700)] + words[:9]), (1302, None), (1320, ["alone"])]
+    d = spark.createDataFrame(rows, "id long, toks array<string>").repartition(3)
+    monkeypatch.setattr(graph, "QUERIES", 30)
+    got = graph.neighbours(d, "id", "toks", len(rows), F.col("id") % 20 == 0).collect()
+    want = brute_neighbours([(i, t or []) for i, t in rows], range(0, 1321, 20))
+    assert len(want) == 66 and {r.src for r in got} == set(want)
+    for i, w in want.items():
+        mine = sorted((r for r in got if r.src == i), key=lambda r: r.rank)
+        assert len(mine) == len(w) and all(abs(r.score + s) < 2e-4 for r, (s, _) in zip(mine, w))
+
+
+def test_similar_papers_of_a_large_library(spark, make_papers, tmp_path):
+    """Every term is in more than 400 rows, none in more than 65 % of them."""
+    rng = random.Random(2)
+    words = ["amber", "ledger", "muddy", "gasket", "ratchet", "spindle", "winter", "mason", "auditor", "tunnel"]
+    make_papers([{"paper_id": i, "title": " ".join(rng.sample(words, 5))} for i in range(1200)]).write.parquet(str(tmp_path / "library_papers.parquet"))
+    got = entry.queries()["similar_papers"](spark, str(tmp_path)).collect()
+    assert {r.src for r in got} == set(range(0, 1200, 20)) and {r.n for r in got} == {graph.NEIGHBOURS}
+
+
 def test_enrichment_fills_only_gaps(spark, make_papers):
     p = make_papers([{"paper_id": 1, "title": "alpha beta gamma"}, {"paper_id": 2, "title": "alpha beta gamma", "pub_year": 1999}, {"paper_id": 3}])
     r = spark.createDataFrame([(1, "alpha beta gamma", 2020), (2, "zzz", 2021), (3, None, 2022)], "paper_id long, title string, pub_year int")
