@@ -7,6 +7,7 @@ orders: its key is made of their prefixes, so that only bags that agree under al
 are joined by union. A pair at the threshold (resemblance 2/3) is missed by all bands with a chance of 1.1 %, one that
 shares 85 % of its words with 0.04 %, one that shares 90 % with less than one in a million. Candidates whose sketches
 disagree are dropped, then those whose counters show that they can't share enough; all others are verified exactly.
+A large bucket is first compared with its leaders; whatever these links don't join is then compared pair by pair.
 """
 
 from __future__ import annotations
@@ -32,8 +33,12 @@ ORDERS, BANDS, SKETCH = 5, 32, 128
 MAX_BITS = 36
 #: Counters of a bag's elements, by the first bits of their hashes.
 COUNTERS = 128
-#: Buckets up to this size are compared pair by pair, larger ones against leaders.
+#: Buckets up to this size are compared pair by pair, larger ones against leaders before that.
 BLOCK = 256
+#: A large bucket is compared by pairs of pieces of about so many bags, and of so many elements.
+PIECE, ELEMENTS = 4096, 2_000_000
+#: Up to so many keys of large buckets are broadcast.
+FEW = 500_000
 SEEN = 500_000
 
 _U32, _U64 = np.uint32, np.uint64
@@ -185,7 +190,10 @@ class _Leaders:
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of bags that meet in a bucket; the rows come sorted by key. A bucket of any size is read in pieces."""
+    """Pairs of bags that meet in a bucket; the rows come sorted by key. A bucket of any size is read in pieces.
+
+    For a large bucket, whose members are only compared with leaders, there is a row with its key and a null besides.
+    """
     big_key, big = None, _Leaders()
     rest = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, 2), _U64))
 
@@ -203,6 +211,7 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i in np.flatnonzero(large):
             if k[edge[i]] != big_key:
                 big_key, big = k[edge[i]], _Leaders()
+                yield pa.RecordBatch.from_arrays([pa.array([big_key], pa.int64()), pa.array([None], pa.int64())], names=["a", "b"])
             part = slice(edge[i], edge[i] + size[i])
             yield from out(*big.add(s[part], sk[part]))
         few = np.repeat(~large & (size > 1), size)
@@ -223,7 +232,7 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def candidate_pairs(bags: DataFrame) -> DataFrame:
-    """``(a, b)``: pairs of bags, by ``s1``, that meet in a band and whose sketches agree."""
+    """``(a, b)``: pairs of bags, by ``s1``, that meet in a band and whose sketches agree; ``(key, null)``: large buckets."""
     keys = bags.where("e is not null").select("s1", "e").mapInArrow(_band_keys, "k long, s1 long, x long, y long")
     by_key = keys.repartition("k").sortWithinPartitions("k")
     return by_key.mapInArrow(_pairs, "a long, b long").distinct()
@@ -239,13 +248,79 @@ def _may_share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok)), b.column(1).filter(pa.array(ok))], names=["a", "b"])
 
 
+def _exact(rows: pa.Table) -> pa.Table:
+    """Links between bags of different labels, of one piece or of two: one for each bag and label."""
+    rep, label, piece = (rows[c].to_numpy() for c in ("rep", "label", "piece"))
+    e = rows["e"].combine_chunks()
+    size = np.diff(e.offsets.to_numpy())
+    n = len(rep)
+    value, x, times = np.unique(e.values.to_numpy(), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(n), size)
+    both = times[x] > 1  # in one bag only: never shared
+    x, owner = x[both], owner[both]
+    at = np.searchsorted(owner, np.arange(n + 1))
+    posts = np.split(owner[np.argsort(x, kind="stable")], np.cumsum(np.bincount(x, minlength=len(value)))[:-1])
+    whole: dict[int, np.ndarray] = {}
+    for t in np.flatnonzero(times * 64 > max(n, 64)).tolist():
+        whole[t] = np.zeros(n, np.uint8)
+        whole[t][posts[t]] = 1
+    left, right = [], []
+    across = len(np.unique(piece)) > 1
+    for r in range(n):
+        shared = np.zeros(n, np.int32)
+        mine = x[at[r] : at[r + 1]].tolist()
+        for lo in range(0, len(mine), 255):
+            c = np.zeros(n, np.uint8)
+            for t in mine[lo : lo + 255]:
+                if t in whole:
+                    np.add(c, whole[t], out=c)
+                else:
+                    c[posts[t]] += 1
+            shared += c
+        ok = (shared >= THRESHOLD * np.maximum(size, size[r]) - 1e-9) & (label != label[r])
+        if across:
+            ok &= piece != piece[r]
+        m = np.flatnonzero(ok)
+        m = m[np.unique(label[m], return_index=True)[1]]
+        left.append(np.full(len(m), rep[r]))
+        right.append(rep[m])
+    a, b = (np.concatenate(v) if v else np.empty(0, np.int64) for v in (left, right))
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def _unmet_links(bags: DataFrame, nodes: DataFrame, large: DataFrame, links: DataFrame) -> DataFrame:
+    """``(a, b)``: links, by ``rep``, inside large buckets between bags that ``links`` don't connect.
+
+    Every two such bags of a bucket are compared exactly. A bucket is cut into pieces, and each pair of pieces is a
+    group of its own, so that no task holds a whole bucket.
+    """
+    given = bags.where("e is not null").select("s1", "e")
+    keys = given.mapInArrow(_band_keys, "k long, s1 long, x long, y long").select("k", "s1")
+    large = stored(large, "p5_large")
+    member = keys.join(F.broadcast(large) if large.count() <= FEW else large, "k", "left_semi").distinct()
+    label = nodes.join(components(links).withColumnRenamed("node", "rep"), "rep", "left").select("s1", "rep", F.coalesce("component", "rep").alias("label"))
+    member = stored(member.join(label, "s1"), "p5_members")
+    mixed = member.groupBy("k").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("k")
+    member = stored(member.join(mixed, "k", "left_semi"), "p5_mixed")
+    wanted = member.select("s1").distinct()
+    once = bags.where("e is not null").select("s1", "s2", "e").join(wanted, "s1", "left_semi").groupBy("s1", "s2").agg(F.first("e").alias("e"))
+    whole = stored(once.join(nodes.select("s1", "s2", "rep"), ["s1", "s2"]).select("rep", "e", F.size("e").alias("z")), "p5_whole")
+    sizes = member.join(whole.select("rep", "z"), "rep").groupBy("k").agg(F.count("*").alias("n"), F.sum("z").alias("z"))
+    pieces = sizes.select("k", F.ceil(F.greatest(F.col("n") / PIECE, F.col("z") / ELEMENTS)).cast("int").alias("m"))
+    part = member.join(pieces, "k").withColumn("piece", F.pmod(F.xxhash64("rep"), "m").cast("int"))
+    each = part.select("k", "rep", "label", "piece", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("o"))
+    each = each.select("k", "rep", "label", "piece", F.least("piece", "o").alias("i"), F.greatest("piece", "o").alias("j")).join(whole.select("rep", "e"), "rep")
+    # a bucket of more than one piece has its pairs inside a piece in the groups (i, i)
+    return each.groupBy("k", "i", "j").applyInArrow(_exact, "a long, b long")
+
+
 def near_copy_groups(docs: DataFrame, row_id: str = "paper_id", title: str = "title", abstract: str = "abstract") -> DataFrame:
     """``(first_id, other_id)`` of every group of two or more linked records; ``first_id`` is the least id.
 
     Records whose abstract has fewer than MIN_WORDS words, or is null, take no part; a null title counts as empty; rows
     with a null id are left out. Equal bags are one node from the start: a task gives the elements of a bag once, so
-    copies cost neither candidates nor a hot bucket. A large bucket is compared with its leaders only, piece by piece;
-    links between its other members come from the bands in which they meet elsewhere.
+    copies cost neither candidates nor a hot bucket. A large bucket is compared with its leaders, piece by piece; its
+    members that the links found so far leave apart are compared with each other, all of them and exactly.
     """
     d = docs.where(F.col(row_id).isNotNull()).select(F.col(row_id).cast("long").alias("paper_id"), F.col(title).cast("string"), F.col(abstract).cast("string"))
     bags = stored(d.mapInArrow(_bags, "paper_id long, s1 long, s2 long, e array<long>, c binary"), "p5_bags")
@@ -253,7 +328,9 @@ def near_copy_groups(docs: DataFrame, row_id: str = "paper_id", title: str = "ti
     nodes = stored(nodes, "p5_nodes")
     counters = bags.where("e is not null").select("s1", "c").dropDuplicates(["s1"])
     left, right = (counters.select(F.col("s1").alias(x), F.col("c").alias(f"c{x}")) for x in "ab")
-    met = candidate_pairs(bags).join(left, "a").join(right, "b").select("a", "b", "ca", "cb")
+    found = stored(candidate_pairs(bags), "p5_met")
+    large = found.where("b is null").select(F.col("a").alias("k")).distinct()
+    met = found.where("b is not null").join(left, "a").join(right, "b").select("a", "b", "ca", "cb")
     pairs = stored(met.mapInArrow(_may_share, "a long, b long"), "p5_pairs")
     ends = pairs.select(F.explode(F.array("a", "b")).alias("s1")).distinct()
     once = bags.where("e is not null").select("s1", "s2", "e").join(ends, "s1", "left_semi").groupBy("s1", "s2").agg(F.first("e").alias("e"))
@@ -262,7 +339,11 @@ def near_copy_groups(docs: DataFrame, row_id: str = "paper_id", title: str = "ti
     both = pairs.join(x, "a").join(y, "b")
     shared = F.size(F.array_intersect("e_a", "e_b"))
     links = both.where(shared >= F.lit(THRESHOLD) * F.greatest(F.size("e_a"), F.size("e_b")) - 1e-9)
-    comp = components(links.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))).withColumnRenamed("node", "rep")
+    links = links.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
+    if not large.isEmpty():
+        links = stored(links, "p5_links")
+        links = links.unionByName(_unmet_links(bags, nodes, large, links))
+    comp = components(links).withColumnRenamed("node", "rep")
     dim = nodes.join(comp, "rep", "left").where("component is not null or rep <> last")
     dim = dim.select(F.struct("s1", "s2").alias("nk"), F.coalesce("component", "rep").alias("first_id"), "n")
     total, hottest = nodes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()

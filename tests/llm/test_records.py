@@ -233,3 +233,25 @@ def test_near_copies_of_one_text(spark, monkeypatch):
     df = spark.createDataFrame(data, "paper_id long, title string, abstract string").withColumn("e", F.lit(0)).withColumn("s1", F.lit("clash"))
     assert {tuple(r) for r in p5.near_copy_groups(df).collect()} == {(1, i) for i in range(2, 120)}
     assert p5.near_copy_groups(df.limit(0)).count() == 0
+
+
+def family(n, shared, seed=1):
+    """Texts of 125 words, of which all share 95; two and two share ``shared``."""
+    rng = random.Random(seed)
+    base = [f"b{i}" for i in range(95)]
+    out = []
+    for i in range(n // 2):
+        both = [f"p{i}q{j}" for j in range(shared - 95)]
+        for side in "xy":
+            w = base + both + [f"{side}{i}q{j}" for j in range(125 - shared)]
+            rng.shuffle(w)
+            out.append((2 * i + (side == "y"), None, " ".join(w)))
+    return out
+
+
+def test_partners_in_a_large_family(spark, monkeypatch):
+    """Texts that resemble each other just below the threshold, in buckets of more than a block; of several pieces."""
+    monkeypatch.setattr(p5, "PIECE", 500, raising=False)
+    df = spark.createDataFrame(family(2000, 103), "paper_id long, title string, abstract string")
+    got = {tuple(r) for r in p5.near_copy_groups(df).collect()}
+    assert got <= {(2 * i, 2 * i + 1) for i in range(1000)} and len(got) >= 985
