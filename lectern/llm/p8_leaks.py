@@ -97,14 +97,24 @@ def stretches(hits: list[tuple[int, int]], k: int, gap: int, least: int) -> list
     """Hits (place in the document, place in the passage) joined along both: (from, to, passage from, passage to)."""
     hits = sorted(hits)
     runs: list[list[int]] = []
+    by: dict[int, list[int]] = {}  # numbers of the runs in reach, by the diagonal of their last hit, the oldest first
     for j, i in hits:
-        for r in reversed(runs[-8:]):
-            dj, di = j - r[1], i - r[3]
-            if 0 <= dj <= gap + 1 and 0 <= di <= gap + 1 and abs(dj - di) <= SLIP:
-                r[1], r[3] = j, i
-                break
-        else:
+        last = -1
+        for diagonal in range(j - i - SLIP, j - i + SLIP + 1):
+            mine = by.get(diagonal, ())
+            if mine and j - runs[mine[0]][1] > gap + 1:
+                mine = by[diagonal] = [r for r in mine if j - runs[r][1] <= gap + 1]
+            for r in mine:
+                if r > last and 0 <= i - runs[r][3] <= gap + 1:
+                    last = r
+        if last < 0:
+            last = len(runs)
             runs.append([j, j, i, i])
+        else:
+            old = runs[last]
+            by[old[1] - old[3]].remove(last)
+            old[1], old[3] = j, i
+        by.setdefault(j - i, []).append(last)
     return [(a, b + k, c, d + k) for a, b, c, d in runs if d + k - c >= least]
 
 

@@ -79,6 +79,24 @@ def test_leak_spans_are_places_in_the_document(spark):
     assert [(x.start, x.item_start, x.share) for x in r] == [(3, 0, 1.0)] and r[0].end == 3 + len(p8.tokens(PASSAGE))
 
 
+def test_stretches_between_many_other_runs():
+    """Nine and more runs open before the true one goes on, within the gap."""
+    others = [(6, 100 * i) for i in range(1, 13)]
+    assert p8.stretches([(5, 0), *others, (10, 5)], 5, 5, 8) == [(5, 15, 0, 10)]
+    rng = random.Random(4)
+    for _ in range(200):
+        hits = [(rng.randrange(40), rng.randrange(12)) for _ in range(rng.randrange(60))]
+        runs = []
+        for j, i in sorted(hits):
+            for r in reversed(runs):
+                if j - r[1] <= 6 and 0 <= i - r[3] <= 6 and abs(j - r[1] - i + r[3]) <= p8.SLIP:
+                    r[1], r[3] = j, i
+                    break
+            else:
+                runs.append([j, j, i, i])
+        assert p8.stretches(hits, 5, 5, 8) == [(a, b + 5, c, e + 5) for a, b, c, e in runs if e + 5 - c >= 8]
+
+
 def test_packing(spark, monkeypatch):
     monkeypatch.setattr(p7, "SHARD_ITEMS", 50)
     rng = random.Random(3)
