@@ -157,11 +157,12 @@ _BARE = re.compile(r"[\s_\-.|:]")
 
 
 def has_placeholder(prepared_text: str) -> bool:
-    """A window between delimiters holds a field's name, or any name if the delimiters occur in templates only."""
+    """A window between delimiters, of any length, holds a field's name, or any name if the delimiters occur in templates only."""
     t = re.sub(r"\s+", "", prepared_text)
     for a, b in STRONG:
+        # an end after any of the starts is an end after the first one
         i = t.find(a)
-        if i >= 0 and (not b or 0 < t.find(b, i + len(a)) - i <= 60):
+        if i >= 0 and (not b or t.find(b, i + len(a)) >= 0):
             return True
     if t in ("{{", "{{{", "}}") or "\\title{}" in t:
         return True
@@ -171,7 +172,7 @@ def has_placeholder(prepared_text: str) -> bool:
             j = t.find(b, i + len(a))
             if j < 0:
                 break
-            if j - i <= 40 and _ASK.sub("", _BARE.sub("", t[i + len(a) : j])) in _NAMES:
+            if (j - i <= 40 or t.find(a, i + len(a), j) < 0) and _ASK.sub("", _BARE.sub("", t[i + len(a) : j])) in _NAMES:
                 return True
             i = t.find(a, i + 1)
     return bool(re.search(r"\\[a-z_]*(?:title|author|year|name|venue|headline|dataset|method|topic|task|project|site)[a-z_.]*\{\}", t))

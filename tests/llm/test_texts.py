@@ -38,6 +38,14 @@ def test_residue(spark):
     assert p3.residue(df.limit(0), "id", "title").count() == 0
 
 
+def test_placeholders_of_any_length():
+    long = "record.metadata.title | default('no title was given for this record') | truncate(80)"
+    for t in ("{{ " + long + " }}", "Towards ${" + "a" * 70 + "} of Robots", "{{ Sets and " + "words " * 20 + "{{ title }}", "[" + "_" * 50 + "title]"):
+        assert p3.has_placeholder(p3.prepared(t)), t
+    for t in (*REAL, "{{ Sets of Robots", "Sets [" + "a" * 60 + "] of [x]"):
+        assert not p3.has_placeholder(p3.prepared(t)), t
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_fm_index(seed):
     rng = np.random.default_rng(seed)
