@@ -7,7 +7,8 @@ orders: its key is made of their prefixes, so that only bags that agree under al
 are joined by union. A pair at the threshold (resemblance 2/3) is missed by all bands with a chance of 1.1 %, one that
 shares 85 % of its words with 0.04 %, one that shares 90 % with less than one in a million. Candidates whose sketches
 disagree are dropped, then those whose counters show that they can't share enough; all others are verified exactly.
-A large bucket is first compared with its leaders; whatever these links don't join is then compared pair by pair.
+A large bucket is first compared with its leaders; the members that the verified links leave in different groups are
+then compared pair by pair, a block of pairs to a task.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import words
 from ..operators.skew import lookup
-from ..runtime import stored
+from ..runtime import Stored, stored
 from .components import components
 
 MIN_WORDS = 40
@@ -31,14 +32,12 @@ THRESHOLD = 0.8
 ORDERS, BANDS, SKETCH = 5, 32, 128
 #: Of SKETCH bits, so many may differ: 36 is more than three deviations beyond what pairs at the threshold have.
 MAX_BITS = 36
-#: Counters of a bag's elements, by the first bits of their hashes.
-COUNTERS = 128
+#: Counters of a bag's elements, by the first bits of their hashes: all of them inside large buckets, else FOLD in one.
+COUNTERS, FOLD = 512, 4
 #: Buckets up to this size are compared pair by pair, larger ones against leaders before that.
 BLOCK = 256
-#: A large bucket is compared by pairs of pieces of about so many bags, and of so many elements.
-PIECE, ELEMENTS = 4096, 2_000_000
-#: Up to so many keys of large buckets are broadcast.
-FEW = 500_000
+#: A large bucket is compared by pairs of pieces of about so many bags, so many rows of a piece at once.
+PIECE, ROWS = 4096, 256
 SEEN = 500_000
 
 _U32, _U64 = np.uint32, np.uint64
@@ -102,7 +101,7 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         offsets = np.concatenate([[0], np.cumsum(np.where(new, n, 0))]).astype(np.int32)
         # how many elements fall into each bucket: two bags share at most the sum of the lesser counts
         row = np.repeat(np.arange(len(ids)), n)
-        spread = np.bincount(row * COUNTERS + (e >> _U64(57)).astype(np.int64), minlength=len(ids) * COUNTERS)
+        spread = np.bincount(row * COUNTERS + (e >> _U64(64 - COUNTERS.bit_length() + 1)).astype(np.int64), minlength=len(ids) * COUNTERS)
         counts = [x.tobytes() if k else None for x, k in zip(np.minimum(spread, 255).astype(np.uint8).reshape(-1, COUNTERS), new)]
         lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(e[kept].view(np.int64)), mask=pa.array(~new))
         yield pa.RecordBatch.from_arrays(
@@ -190,18 +189,21 @@ class _Leaders:
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of bags that meet in a bucket; the rows come sorted by key. A bucket of any size is read in pieces.
+    """Pairs of bags that meet in a bucket; the rows come sorted by key and bag. A bucket of any size is read in pieces.
 
-    For a large bucket, whose members are only compared with leaders, there is a row with its key and a null besides.
+    A bag that several tasks have given counts once. Of a large bucket, whose members are only compared with leaders,
+    every member comes out besides, with the key and the sketch.
     """
     big_key, big = None, _Leaders()
     rest = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, 2), _U64))
+    last = None
 
     def out(left: list, right: list) -> Iterator[pa.RecordBatch]:
         if left and sum(map(len, left)):
             x, y = np.concatenate(left), np.concatenate(right)
             p = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(p[0]), pa.array(p[1])], names=["a", "b"])
+            none = pa.nulls(len(p[0]), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(p[0]), pa.array(p[1]), none, none, none], names=["a", "b", "k", "x", "y"])
 
     def work(k: np.ndarray, s: np.ndarray, sk: np.ndarray) -> Iterator[pa.RecordBatch]:
         nonlocal big_key, big
@@ -211,15 +213,21 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i in np.flatnonzero(large):
             if k[edge[i]] != big_key:
                 big_key, big = k[edge[i]], _Leaders()
-                yield pa.RecordBatch.from_arrays([pa.array([big_key], pa.int64()), pa.array([None], pa.int64())], names=["a", "b"])
             part = slice(edge[i], edge[i] + size[i])
+            bits = sk[part].view(np.int64)
+            none = pa.nulls(size[i], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(s[part]), none, *map(pa.array, (k[part], bits[:, 0], bits[:, 1]))], names=["a", "b", "k", "x", "y"])
             yield from out(*big.add(s[part], sk[part]))
         few = np.repeat(~large & (size > 1), size)
         yield from out(*_small(k[few], s[few], sk[few]))
 
     for b in batches:
         cols = (b.column(0).to_numpy(), b.column(1).to_numpy(), np.stack([b.column(2).to_numpy(), b.column(3).to_numpy()], axis=1).view(_U64))
-        k, s, sk = (np.concatenate([r, c]) for r, c in zip(rest, cols))
+        if not len(cols[0]):
+            continue
+        new = np.concatenate([[last != (cols[0][0], cols[1][0])], (np.diff(cols[0]) != 0) | (np.diff(cols[1]) != 0)])
+        last = (cols[0][-1], cols[1][-1])
+        k, s, sk = (np.concatenate([r, c[new]]) for r, c in zip(rest, cols))
         # the last key may go on in the next batch, unless its bucket is known to be large
         cut = int(np.searchsorted(k, k[-1])) if len(k) else 0
         if len(k) - cut > BLOCK or (big_key is not None and len(k) and k[-1] == big_key):
@@ -231,87 +239,92 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from work(*rest)
 
 
-def candidate_pairs(bags: DataFrame) -> DataFrame:
-    """``(a, b)``: pairs of bags, by ``s1``, that meet in a band and whose sketches agree; ``(key, null)``: large buckets."""
+def candidates(bags: DataFrame) -> DataFrame:
+    """``(a, b, k, x, y)``: pairs of bags, by ``s1``, that meet in a band and whose sketches agree, with a null key; and
+    the members ``a`` of large buckets ``k`` with their sketches, with a null ``b``."""
     keys = bags.where("e is not null").select("s1", "e").mapInArrow(_band_keys, "k long, s1 long, x long, y long")
-    by_key = keys.repartition("k").sortWithinPartitions("k")
-    return by_key.mapInArrow(_pairs, "a long, b long").distinct()
+    by_key = keys.repartition("k").sortWithinPartitions("k", "s1")
+    return by_key.mapInArrow(_pairs, "a long, b long, k long, x long, y long")
+
+
+def _enough(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether counters leave room for enough shared elements. A full counter says nothing."""
+    most = np.maximum(x.sum(1, dtype=np.int64), y.sum(1, dtype=np.int64))
+    return (np.minimum(x, y).sum(1, dtype=np.int64) >= THRESHOLD * most - 1e-9) | (x == 255).any(1) | (y == 255).any(1)
+
+
+def _counters(column: pa.Array) -> np.ndarray:
+    """Counters of each row; a batch of them is one stretch of bytes."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+
+
+def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Neighbouring counters as one."""
+    for b in batches:
+        if b.num_rows:
+            c = np.minimum(_counters(b.column(2)).reshape(b.num_rows, -1, FOLD).sum(2, dtype=np.int64), 255).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x.tobytes() for x in c], pa.binary())], names=["s1", "s2", "c"])
 
 
 def _may_share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs whose counters leave room for enough shared elements."""
     for b in batches:
         if b.num_rows:
-            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(-1, COUNTERS).astype(np.int32) for i in (2, 3))
-            ok = np.minimum(x, y).sum(1) >= THRESHOLD * np.maximum(x.sum(1), y.sum(1)) - 1e-9
-            ok |= (x == 255).any(1) | (y == 255).any(1)
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok)), b.column(1).filter(pa.array(ok))], names=["a", "b"])
-
-
-def _exact(rows: pa.Table) -> pa.Table:
-    """Links between bags of different labels, of one piece or of two: one for each bag and label."""
-    rep, label, piece = (rows[c].to_numpy() for c in ("rep", "label", "piece"))
-    e = rows["e"].combine_chunks()
-    size = np.diff(e.offsets.to_numpy())
-    n = len(rep)
-    value, x, times = np.unique(e.values.to_numpy(), return_inverse=True, return_counts=True)
-    owner = np.repeat(np.arange(n), size)
-    both = times[x] > 1  # in one bag only: never shared
-    x, owner = x[both], owner[both]
-    at = np.searchsorted(owner, np.arange(n + 1))
-    posts = np.split(owner[np.argsort(x, kind="stable")], np.cumsum(np.bincount(x, minlength=len(value)))[:-1])
-    whole: dict[int, np.ndarray] = {}
-    for t in np.flatnonzero(times * 64 > max(n, 64)).tolist():
-        whole[t] = np.zeros(n, np.uint8)
-        whole[t][posts[t]] = 1
+            ok = pa.array(_enough(_counters(b.column(2)), _counters(b.column(3))))
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], names=["a", "b"])
+
+
+def _unmet(rows: pa.Table) -> pa.Table:
+    """Pairs of bags of different labels, of one piece or of two, whose sketches and counters allow a link."""
+    s, label, piece = (rows[c].to_numpy() for c in ("s1", "label", "piece"))
+    sk = np.stack([rows["x"].to_numpy(), rows["y"].to_numpy()], axis=1).view(_U64)
+    c = _counters(rows["c"].combine_chunks())
+    mine = np.flatnonzero(piece == piece.min())
+    other = np.flatnonzero(piece != piece.min()) if (piece != piece.min()).any() else mine
     left, right = [], []
-    across = len(np.unique(piece)) > 1
-    for r in range(n):
-        shared = np.zeros(n, np.int32)
-        mine = x[at[r] : at[r + 1]].tolist()
-        for lo in range(0, len(mine), 255):
-            c = np.zeros(n, np.uint8)
-            for t in mine[lo : lo + 255]:
-                if t in whole:
-                    np.add(c, whole[t], out=c)
-                else:
-                    c[posts[t]] += 1
-            shared += c
-        ok = (shared >= THRESHOLD * np.maximum(size, size[r]) - 1e-9) & (label != label[r])
-        if across:
-            ok &= piece != piece[r]
-        m = np.flatnonzero(ok)
-        m = m[np.unique(label[m], return_index=True)[1]]
-        left.append(np.full(len(m), rep[r]))
-        right.append(rep[m])
+    for lo in range(0, len(mine), ROWS):
+        i = mine[lo : lo + ROWS]
+        p, q = np.nonzero(_near(sk[i][:, None], sk[other][None, :]) & (label[i][:, None] != label[other][None, :]))
+        a, b = i[p], other[q]
+        if other is mine:
+            a, b = a[a < b], b[a < b]
+        for at in range(0, len(a), 10_000):
+            x, y = a[at : at + 10_000], b[at : at + 10_000]
+            ok = _enough(c[x], c[y])
+            left.append(s[x[ok]])
+            right.append(s[y[ok]])
     a, b = (np.concatenate(v) if v else np.empty(0, np.int64) for v in (left, right))
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+    return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
 
 
-def _unmet_links(bags: DataFrame, nodes: DataFrame, large: DataFrame, links: DataFrame) -> DataFrame:
-    """``(a, b)``: links, by ``rep``, inside large buckets between bags that ``links`` don't connect.
+def _unmet_pairs(members: DataFrame, counters: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """``(a, b)``: pairs inside large buckets that ``links`` don't connect and whose sketches and counters agree.
 
-    Every two such bags of a bucket are compared exactly. A bucket is cut into pieces, and each pair of pieces is a
-    group of its own, so that no task holds a whole bucket.
+    Every two such members of a bucket are compared. A bucket is cut into pieces, and each pair of pieces is a group of
+    its own, so that no task holds a whole bucket.
     """
-    given = bags.where("e is not null").select("s1", "e")
-    keys = given.mapInArrow(_band_keys, "k long, s1 long, x long, y long").select("k", "s1")
-    large = stored(large, "p5_large")
-    member = keys.join(F.broadcast(large) if large.count() <= FEW else large, "k", "left_semi").distinct()
-    label = nodes.join(components(links).withColumnRenamed("node", "rep"), "rep", "left").select("s1", "rep", F.coalesce("component", "rep").alias("label"))
-    member = stored(member.join(label, "s1"), "p5_members")
-    mixed = member.groupBy("k").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("k")
-    member = stored(member.join(mixed, "k", "left_semi"), "p5_mixed")
-    wanted = member.select("s1").distinct()
-    once = bags.where("e is not null").select("s1", "s2", "e").join(wanted, "s1", "left_semi").groupBy("s1", "s2").agg(F.first("e").alias("e"))
-    whole = stored(once.join(nodes.select("s1", "s2", "rep"), ["s1", "s2"]).select("rep", "e", F.size("e").alias("z")), "p5_whole")
-    sizes = member.join(whole.select("rep", "z"), "rep").groupBy("k").agg(F.count("*").alias("n"), F.sum("z").alias("z"))
-    pieces = sizes.select("k", F.ceil(F.greatest(F.col("n") / PIECE, F.col("z") / ELEMENTS)).cast("int").alias("m"))
-    part = member.join(pieces, "k").withColumn("piece", F.pmod(F.xxhash64("rep"), "m").cast("int"))
-    each = part.select("k", "rep", "label", "piece", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("o"))
-    each = each.select("k", "rep", "label", "piece", F.least("piece", "o").alias("i"), F.greatest("piece", "o").alias("j")).join(whole.select("rep", "e"), "rep")
+    label = nodes.join(components(links).withColumnRenamed("node", "rep"), "rep", "left").select("s1", F.coalesce("component", "rep").alias("label"))
+    member = stored(members.join(label, "s1"), "p5_members")
+    mixed = member.groupBy("k").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
+    pieces = mixed.select("k", F.ceil(F.col("n") / PIECE).cast("int").alias("m"))
+    part = member.join(pieces, "k").withColumn("piece", F.pmod(F.xxhash64("s1"), "m").cast("int"))
+    each = part.select("k", "s1", "label", "x", "y", "piece", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("o"))
     # a bucket of more than one piece has its pairs inside a piece in the groups (i, i)
-    return each.groupBy("k", "i", "j").applyInArrow(_exact, "a long, b long")
+    each = each.withColumns({"i": F.least("piece", "o"), "j": F.greatest("piece", "o")}).drop("o").join(counters.drop("s2"), "s1")
+    return each.groupBy("k", "i", "j").applyInArrow(_unmet, "a long, b long").distinct()
+
+
+def _verified(pairs: DataFrame, whole: DataFrame) -> DataFrame:
+    """``(a, b)``, by ``rep``: the pairs that share enough. A bag in many pairs is looked up as a hot key."""
+    ends = stored(pairs.select(F.explode(F.array("a", "b")).alias("s1")).groupBy("s1").agg(F.count("*").alias("n")), "p5_ends")
+    bags = stored(whole.join(ends, "s1"), "p5_whole")
+    total, hottest = ends.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    for c in "ab":
+        dim = bags.select(F.col("s1").alias(c), F.col("rep").alias(f"rep_{c}"), F.col("e").alias(f"e_{c}"), "n")
+        pairs = lookup(pairs, dim, c, "n", total, hottest)
+    shared = F.size(F.array_intersect("e_a", "e_b"))
+    links = pairs.where(shared >= F.lit(THRESHOLD) * F.greatest(F.size("e_a"), F.size("e_b")) - 1e-9)
+    return stored(links.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")), "p5_links")
 
 
 def near_copy_groups(docs: DataFrame, row_id: str = "paper_id", title: str = "title", abstract: str = "abstract") -> DataFrame:
@@ -320,29 +333,25 @@ def near_copy_groups(docs: DataFrame, row_id: str = "paper_id", title: str = "ti
     Records whose abstract has fewer than MIN_WORDS words, or is null, take no part; a null title counts as empty; rows
     with a null id are left out. Equal bags are one node from the start: a task gives the elements of a bag once, so
     copies cost neither candidates nor a hot bucket. A large bucket is compared with its leaders, piece by piece; its
-    members that the links found so far leave apart are compared with each other, all of them and exactly.
+    members that the links found so far leave apart are compared with each other, all of them.
     """
     d = docs.where(F.col(row_id).isNotNull()).select(F.col(row_id).cast("long").alias("paper_id"), F.col(title).cast("string"), F.col(abstract).cast("string"))
     bags = stored(d.mapInArrow(_bags, "paper_id long, s1 long, s2 long, e array<long>, c binary"), "p5_bags")
     nodes = bags.groupBy("s1", "s2").agg(F.min("paper_id").alias("rep"), F.max("paper_id").alias("last"), F.count("*").alias("n"))
     nodes = stored(nodes, "p5_nodes")
-    counters = bags.where("e is not null").select("s1", "c").dropDuplicates(["s1"])
-    left, right = (counters.select(F.col("s1").alias(x), F.col("c").alias(f"c{x}")) for x in "ab")
-    found = stored(candidate_pairs(bags), "p5_met")
-    large = found.where("b is null").select(F.col("a").alias("k")).distinct()
-    met = found.where("b is not null").join(left, "a").join(right, "b").select("a", "b", "ca", "cb")
-    pairs = stored(met.mapInArrow(_may_share, "a long, b long"), "p5_pairs")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("s1")).distinct()
-    once = bags.where("e is not null").select("s1", "s2", "e").join(ends, "s1", "left_semi").groupBy("s1", "s2").agg(F.first("e").alias("e"))
-    whole = once.join(nodes.select("s1", "s2", "rep"), ["s1", "s2"]).select("s1", "rep", "e")
-    x, y = (whole.select(F.col("s1").alias(c), F.col("rep").alias(f"rep_{c}"), F.col("e").alias(f"e_{c}")) for c in "ab")
-    both = pairs.join(x, "a").join(y, "b")
-    shared = F.size(F.array_intersect("e_a", "e_b"))
-    links = both.where(shared >= F.lit(THRESHOLD) * F.greatest(F.size("e_a"), F.size("e_b")) - 1e-9)
-    links = links.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
-    if not large.isEmpty():
-        links = stored(links, "p5_links")
-        links = links.unionByName(_unmet_links(bags, nodes, large, links))
+    given = bags.where("e is not null")
+    counters = given.select("s1", "s2", "c").dropDuplicates(["s1", "s2"])
+    found = Stored(candidates(bags), "p5_met")
+    few = counters.mapInArrow(_folded, "s1 long, s2 long, c binary")
+    left, right = (few.select(F.col("s1").alias(x), F.col("c").alias(f"c{x}")) for x in "ab")
+    met = found.df.where("b is not null").select("a", "b").distinct().join(left, "a").join(right, "b").select("a", "b", "ca", "cb")
+    pairs = stored(met.mapInArrow(_may_share, "a long, b long").distinct(), "p5_pairs")
+    once = given.select("s1", "s2", "e").join(nodes.select("s1", "s2", "rep"), ["s1", "s2"]).dropDuplicates(["rep"]).select("s1", "rep", "e")
+    links = _verified(pairs, once)
+    members = found.df.where("b is null").select("k", F.col("a").alias("s1"), "x", "y")
+    if not members.isEmpty():
+        more = stored(_unmet_pairs(members, counters, nodes, links), "p5_unmet")
+        links = links.unionByName(_verified(more, once))
     comp = components(links).withColumnRenamed("node", "rep")
     dim = nodes.join(comp, "rep", "left").where("component is not null or rep <> last")
     dim = dim.select(F.struct("s1", "s2").alias("nk"), F.coalesce("component", "rep").alias("first_id"), "n")

@@ -251,7 +251,7 @@ def family(n, shared, seed=1):
 
 def test_partners_in_a_large_family(spark, monkeypatch):
     """Texts that resemble each other just below the threshold, in buckets of more than a block; of several pieces."""
-    monkeypatch.setattr(p5, "PIECE", 500, raising=False)
+    monkeypatch.setattr(p5, "PIECE", 500)
     df = spark.createDataFrame(family(2000, 103), "paper_id long, title string, abstract string")
     got = {tuple(r) for r in p5.near_copy_groups(df).collect()}
     assert got <= {(2 * i, 2 * i + 1) for i in range(1000)} and len(got) >= 985
