@@ -38,6 +38,8 @@ COUNTERS, FOLD = 512, 4
 BLOCK = 256
 #: A large bucket is compared by pairs of pieces of about so many bags, so many rows of a piece at once.
 PIECE, ROWS = 4096, 256
+#: Up to so many bags (8 bytes each) are broadcast to filter the table of all bags; more are joined by shuffle.
+FEW = 1_000_000
 SEEN = 500_000
 
 _U32, _U64 = np.uint32, np.uint64
@@ -266,6 +268,13 @@ def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x.tobytes() for x in c], pa.binary())], names=["s1", "s2", "c"])
 
 
+def _once(given: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of ``given`` whose ``s1`` is in ``wanted``, with its columns; each bag once, placed by ``s1``."""
+    few = wanted.count() <= FEW
+    rows = given.join(F.broadcast(wanted) if few else wanted, "s1")
+    return (rows.repartition("s1") if few else rows).dropDuplicates(["s1", "s2"])
+
+
 def _may_share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs whose counters leave room for enough shared elements."""
     for b in batches:
@@ -297,7 +306,7 @@ def _unmet(rows: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
 
 
-def _unmet_pairs(members: DataFrame, counters: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
+def _unmet_pairs(members: DataFrame, given: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
     """``(a, b)``: pairs inside large buckets that ``links`` don't connect and whose sketches and counters agree.
 
     Every two such members of a bucket are compared. A bucket is cut into pieces, and each pair of pieces is a group of
@@ -309,22 +318,25 @@ def _unmet_pairs(members: DataFrame, counters: DataFrame, nodes: DataFrame, link
     pieces = mixed.select("k", F.ceil(F.col("n") / PIECE).cast("int").alias("m"))
     part = member.join(pieces, "k").withColumn("piece", F.pmod(F.xxhash64("s1"), "m").cast("int"))
     each = part.select("k", "s1", "label", "x", "y", "piece", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("o"))
+    counters = _once(given.select("s1", "s2", "c"), part.select("s1").distinct()).drop("s2")
     # a bucket of more than one piece has its pairs inside a piece in the groups (i, i)
-    each = each.withColumns({"i": F.least("piece", "o"), "j": F.greatest("piece", "o")}).drop("o").join(counters.drop("s2"), "s1")
+    each = each.withColumns({"i": F.least("piece", "o"), "j": F.greatest("piece", "o")}).drop("o").join(counters, "s1")
     return each.groupBy("k", "i", "j").applyInArrow(_unmet, "a long, b long").distinct()
 
 
-def _verified(pairs: DataFrame, whole: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, given: DataFrame, nodes: DataFrame) -> DataFrame:
     """``(a, b)``, by ``rep``: the pairs that share enough. A bag in many pairs is looked up as a hot key."""
     ends = stored(pairs.select(F.explode(F.array("a", "b")).alias("s1")).groupBy("s1").agg(F.count("*").alias("n")), "p5_ends")
-    bags = stored(whole.join(ends, "s1"), "p5_whole")
+    bags = _once(given.select("s1", "s2", "e"), ends)
     total, hottest = ends.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
     for c in "ab":
-        dim = bags.select(F.col("s1").alias(c), F.col("rep").alias(f"rep_{c}"), F.col("e").alias(f"e_{c}"), "n")
+        dim = bags.select(F.col("s1").alias(c), F.col("s2").alias(f"s2{c}"), F.col("e").alias(f"e{c}"), "n")
         pairs = lookup(pairs, dim, c, "n", total, hottest)
-    shared = F.size(F.array_intersect("e_a", "e_b"))
-    links = pairs.where(shared >= F.lit(THRESHOLD) * F.greatest(F.size("e_a"), F.size("e_b")) - 1e-9)
-    return stored(links.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")), "p5_links")
+    shared = F.size(F.array_intersect("ea", "eb"))
+    links = pairs.where(shared >= F.lit(THRESHOLD) * F.greatest(F.size("ea"), F.size("eb")) - 1e-9).select("a", "s2a", "b", "s2b")
+    for c in "ab":
+        links = links.join(nodes.select(F.col("s1").alias(c), F.col("s2").alias(f"s2{c}"), F.col("rep").alias(f"rep{c}")), [c, f"s2{c}"])
+    return stored(links.select(F.col("repa").alias("a"), F.col("repb").alias("b")), "p5_links")
 
 
 def near_copy_groups(docs: DataFrame, row_id: str = "paper_id", title: str = "title", abstract: str = "abstract") -> DataFrame:
@@ -340,18 +352,18 @@ def near_copy_groups(docs: DataFrame, row_id: str = "paper_id", title: str = "ti
     nodes = bags.groupBy("s1", "s2").agg(F.min("paper_id").alias("rep"), F.max("paper_id").alias("last"), F.count("*").alias("n"))
     nodes = stored(nodes, "p5_nodes")
     given = bags.where("e is not null")
-    counters = given.select("s1", "s2", "c").dropDuplicates(["s1", "s2"])
     found = Stored(candidates(bags), "p5_met")
-    few = counters.mapInArrow(_folded, "s1 long, s2 long, c binary")
-    left, right = (few.select(F.col("s1").alias(x), F.col("c").alias(f"c{x}")) for x in "ab")
+    counters = given.select("s1", "s2", "c").mapInArrow(_folded, "s1 long, s2 long, c binary").repartition("s1").dropDuplicates(["s1", "s2"])
+    left, right = (counters.select(F.col("s1").alias(x), F.col("c").alias(f"c{x}")) for x in "ab")
     met = found.df.where("b is not null").select("a", "b").distinct().join(left, "a").join(right, "b").select("a", "b", "ca", "cb")
     pairs = stored(met.mapInArrow(_may_share, "a long, b long").distinct(), "p5_pairs")
-    once = given.select("s1", "s2", "e").join(nodes.select("s1", "s2", "rep"), ["s1", "s2"]).dropDuplicates(["rep"]).select("s1", "rep", "e")
-    links = _verified(pairs, once)
+    links = _verified(pairs, given, nodes)
     members = found.df.where("b is null").select("k", F.col("a").alias("s1"), "x", "y")
     if not members.isEmpty():
-        more = stored(_unmet_pairs(members, counters, nodes, links), "p5_unmet")
-        links = links.unionByName(_verified(more, once))
+        more = stored(_unmet_pairs(members, given, nodes, links), "p5_unmet")
+        if not more.isEmpty():
+            links = links.unionByName(_verified(more, given, nodes))
+    found.drop()
     comp = components(links).withColumnRenamed("node", "rep")
     dim = nodes.join(comp, "rep", "left").where("component is not null or rep <> last")
     dim = dim.select(F.struct("s1", "s2").alias("nk"), F.coalesce("component", "rep").alias("first_id"), "n")
