@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.ids import well_formed_id
 from ..functions.text import letters_and_digits
 from ..operators.skew import lookup
 from ..runtime import stored
 from .components import components
+from .ids import well_formed_id
 
 MIN_TITLE_KEY = 12
 
