@@ -126,8 +126,8 @@ def tokens(text: Column, hyphens: bool = True) -> Column:
     """
     t = F.replace(F.replace(F.lower(F.coalesce(text, F.lit(""))), F.lit("ﬁ"), F.lit("fi")), F.lit("ﬂ"), F.lit("fl"))
     t = F.regexp_replace(t, r"[^\p{L}\p{N}_\s\-]" if hyphens else r"[^\p{L}\p{N}_\s]", " ")
-    stop = F.array(*map(F.lit, sorted(STOP_WORDS if hyphens else GRAPH_STOP_WORDS)))
-    return F.filter(F.split(t, r"\s+"), lambda x: (F.length(x) > 2) & ~F.array_contains(stop, x) & ~x.rlike(r"^\p{Nd}+$"))
+    stop = sorted(STOP_WORDS if hyphens else GRAPH_STOP_WORDS)
+    return F.filter(F.split(t, r"\s+"), lambda x: (F.length(x) > 2) & ~x.isin(*stop) & ~x.rlike(r"^\p{Nd}+$"))
 
 
 def joined_lines(text: Column) -> Column:

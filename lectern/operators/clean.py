@@ -21,7 +21,8 @@ def _contains_any(c: Column, words: tuple[str, ...]) -> Column:
 
 def junk_reasons(title: Column, stem: Column, title_is_filename: Column) -> Column:
     """Every reason why a title is junk, in the rules' order. A missing or blank title has none."""
-    t = nfkc(F.trim(title))
+    bare = F.regexp_replace(title, r"(?U)^\s+|\s+\z", "")
+    t = nfkc(bare)
     parts = F.size(F.filter(F.split(t, r"[：:] |\n"), lambda p: F.trim(p) != ""))
     whens = [F.when(F.length(t) > 200, "too_long")]
     for reason, p in R.JUNK_TITLES:
@@ -31,7 +32,7 @@ def junk_reasons(title: Column, stem: Column, title_is_filename: Column) -> Colu
             whens.append(F.when(F.length(t) - F.length(F.replace(t, F.lit(":"), F.lit(""))) >= 3, "many_colons"))
             whens.append(F.when(parts >= 3, "multi_parts"))
     whens.append(F.when(F.coalesce(title_is_filename, F.lit(False)) & _contains_any(stem, (*R.COURSE_WORDS, "合辑")), "filename_course_stem"))
-    return F.when(F.trim(title) != "", F.array_compact(F.array(*whens))).otherwise(F.array().cast("array<string>"))
+    return F.when(bare != "", F.array_compact(F.array(*whens))).otherwise(F.array().cast("array<string>"))
 
 
 def with_junk(papers: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import clean as C
+from .clean import junk_reasons
 
 
 def enriched(papers: DataFrame, providers: list[tuple[DataFrame, str, float]], fields: list[str]) -> DataFrame:
@@ -30,6 +31,21 @@ def first_clean(candidates: list[Column], junk: list[Column]) -> Column:
     return F.coalesce(*[F.when((c != "") & ~bad, c) for c, bad in zip(candidates, junk)])
 
 
+def repaired_titles(records: DataFrame, candidates: list[tuple[str, Column]]) -> DataFrame:
+    """Adds ``method`` and ``new_title``: ``ok`` keeps a title that isn't junk; a junk one gets the first candidate that is
+    neither missing nor junk, by its name; ``still_junk`` keeps what there is, for a review. Needs ``stem`` and
+    ``title_is_filename``."""
+    r = records.withColumns({f"_c{i}": c for i, (_, c) in enumerate(candidates)})
+    bad = lambda c: F.size(junk_reasons(F.col(c), F.coalesce("stem", F.lit("")), F.col("title_is_filename"))) > 0
+    r = r.withColumns({"_j": bad("title"), **{f"_j{i}": bad(f"_c{i}") for i in range(len(candidates))}})
+    method, title = F.when(~F.col("_j"), "ok"), F.when(~F.col("_j"), F.col("title"))
+    for i, (name, _) in enumerate(candidates):
+        fit = (F.col(f"_c{i}") != "") & ~F.col(f"_j{i}")
+        method, title = method.when(fit, name), title.when(fit, F.col(f"_c{i}"))
+    r = r.withColumns({"method": method.otherwise("still_junk"), "new_title": title.otherwise(F.col("title"))})
+    return r.drop("_j", *[f"_{x}{i}" for x in "cj" for i in range(len(candidates))])
+
+
 def latest_or_previous(fetched: DataFrame, previous: DataFrame, cols: list[str]) -> DataFrame:
     """One row of counters: the newest fetch, each counter it lacks from the newest snapshot before."""
     both = fetched.select("generated_at", *cols, F.lit(True).alias("now")).unionByName(previous.select("generated_at", *cols, F.lit(False).alias("now")))

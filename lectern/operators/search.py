@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.clean import let
@@ -97,6 +97,33 @@ def page(found: DataFrame, query: str, sort: str, offset: int, limit: int) -> Da
     return ordered(found, query, sort).offset(offset).limit(limit)
 
 
+def placed(rows: DataFrame, order: list[Column], offset: int, limit: int) -> DataFrame:
+    """One page with ``place``; only its rows are sorted to the end, and numbered."""
+    top = rows.orderBy(*order).offset(offset).limit(limit)
+    return top.withColumn("place", F.row_number().over(Window.orderBy(*order)) + offset)
+
+
+def unparsed(rows: DataFrame, query: str = "", library: str = "all", reason: str = "all") -> DataFrame:
+    """What isn't shown, by library, reason and text. Duplicates stay hidden unless their reason is chosen."""
+    out = rows.where(F.col("reason") == reason) if reason != "all" else rows.where("reason <> 'duplicate'")
+    if library != "all":
+        out = out.where(F.col("library") == library)
+    hay = F.lower(F.concat_ws(" ", "stem", "title", "rel_path", "file_path", "folder", "reason"))
+    for t in terms(query):
+        out = out.where(term_matches(hay, F.split(hay, r"[\s,;·、]+"), t))
+    return out
+
+
+def unparsed_page(rows: DataFrame, offset: int, limit: int) -> DataFrame:
+    """The latest first, then by name."""
+    return placed(rows, [F.desc_nulls_last("mtime"), F.coalesce("stem", F.lit("")), F.col("paper_id")], offset, limit)
+
+
+def unparsed_reasons(rows: DataFrame, most: int = 4) -> DataFrame:
+    """``(reason, n)``, the most frequent first, without duplicates."""
+    return rows.where("reason <> 'duplicate'").groupBy("reason").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "reason").limit(most)
+
+
 def facet_counts(found: DataFrame, most: int = 35) -> DataFrame:
     """``(tag, n)`` of the most frequent tags of what was found."""
     return found.select(F.explode_outer("tags").alias("tag")).where("tag is not null").groupBy("tag").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "tag").limit(most)

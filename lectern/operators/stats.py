@@ -70,9 +70,13 @@ def snapshot(papers: DataFrame, day: str) -> DataFrame:
     ).withColumn("day", F.lit(day))
 
 
+#: Years are looked for at the beginning of a text, where a publication names its own.
+YEAR_CHARS = 3000
+
+
 def modal_year(docs: DataFrame, key: str, text: Column, as_of: int) -> DataFrame:
     """``(key, year, n)``: the plausible year a text names most often; ties go to the first named."""
-    ys = F.regexp_extract_all(text, F.lit(r"((?:19|20)[0-9]{2})"), F.lit(1))
+    ys = F.regexp_extract_all(F.substring(text, 1, YEAR_CHARS), F.lit(r"((?:19|20)[0-9]{2})"), F.lit(1))
     each = docs.select(key, F.posexplode(ys).alias("pos", "y")).withColumn("year", F.col("y").cast("int")).where(C.plausible_year(F.col("year"), as_of))
     n = each.groupBy(key, "year").agg(F.count("*").alias("n"), F.min("pos").alias("pos"))
     return n.groupBy(key).agg(F.max(F.struct("n", (-F.col("pos")).alias("p"), "year")).alias("b")).select(key, F.col("b.year").alias("year"), F.col("b.n").alias("n"))

@@ -10,9 +10,14 @@ from pyspark.sql import functions as F
 from ..functions import clean as C
 from ..functions import rules as R
 from ..functions.clean import let
+from ..runtime import stored
+from .skew import lookup
 
 MIN_DF, MAX_SHARE = 12, 0.25
 MAX_KEYWORDS, MIN_SCORE = 3, 0.8
+#: Layer -> column of a tagged record.
+ALL_LAYERS = {**{x: x for x in R.LAYERS}, "folder": "folder_tags", "arxiv": "category_tags", "keyword": "keyword"}
+SHOWN_TAGS, SHOWN_KEYWORDS = 200, 10
 
 
 def paper_text() -> Column:
@@ -56,10 +61,17 @@ def vocabulary(docs: DataFrame, toks: str, n: int, min_df: int = MIN_DF, max_sha
     return document_frequency(docs, toks).where((F.col("df") >= min_df) & (F.col("df") <= max_share * n)).withColumn("idf", F.log((n + 1.0) / (F.col("df") + 1.0)))
 
 
+def _frequencies(docs: DataFrame, key: str, toks: str) -> DataFrame:
+    """``(key, term, tf, pos)``: counted in the row, so that nothing is moved for it; rows of one key are one."""
+    each = F.transform(F.array_distinct(toks), lambda t: F.struct(t.alias("term"), F.size(F.filter(toks, lambda x: x == t)).alias("tf"), F.array_position(toks, t).alias("pos")))
+    return docs.select(key, F.inline(each))
+
+
 def keywords(docs: DataFrame, key: str, toks: str, vocab: DataFrame, most: int = MAX_KEYWORDS, least: float = MIN_SCORE) -> DataFrame:
     """``(key, term, score, rank)``: each row's terms of highest (1 + ln tf) idf; ties go to the first occurrence."""
-    tf = docs.select(key, F.posexplode(toks).alias("pos", "term")).groupBy(key, "term").agg(F.count("*").alias("tf"), F.min("pos").alias("pos"))
-    scored = tf.join(vocab.select("term", "idf"), "term").withColumn("score", F.round((1 + F.log(F.col("tf").cast("double"))) * F.col("idf"), 9))
+    vocab = stored(vocab.select("term", "idf", "df"), "vocabulary")
+    total, hottest = vocab.agg(F.coalesce(F.sum("df"), F.lit(0)), F.coalesce(F.max("df"), F.lit(0))).first()
+    scored = lookup(_frequencies(docs, key, toks), vocab, "term", "df", total, hottest).withColumn("score", F.round((1 + F.log(F.col("tf").cast("double"))) * F.col("idf"), 9))
     w = Window.partitionBy(key).orderBy(F.desc("score"), "pos")
     return scored.where(F.col("score") > least).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select(key, "term", "score", "rank")
 
@@ -97,6 +109,53 @@ def tagged(papers: DataFrame, key: str = "paper_id") -> DataFrame:
     return p.withColumn("topic", F.when(bare, none).otherwise(F.col("topic"))).withColumn("all_tags", F.when(bare, none).otherwise(F.col("all_tags")))
 
 
+def tag_counts(tagged: DataFrame, most: int = SHOWN_TAGS) -> DataFrame:
+    """``(tag, n)`` of the most frequent tags of all layers."""
+    return tagged.select(F.explode_outer("all_tags").alias("tag")).where("tag is not null").groupBy("tag").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "tag").limit(most)
+
+
+def tag_totals(tagged: DataFrame) -> DataFrame:
+    """``(total, uncategorized, unique_tags)``. The tags are counted by value first, so that no value is gathered."""
+    each = F.array_union(F.coalesce("all_tags", F.array().cast("array<string>")), F.array(F.lit(None).cast("string")))  # the null stands for the record
+    n = tagged.select(F.explode(each).alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))
+    return n.agg(
+        F.coalesce(F.sum(F.when(F.col("tag").isNull(), F.col("n"))), F.lit(0)).alias("total"),
+        F.coalesce(F.sum(F.when(F.col("tag") == "Uncategorized", F.col("n"))), F.lit(0)).alias("uncategorized"), F.count("tag").alias("unique_tags"),
+    )
+
+
+def all_layer_counts(tagged: DataFrame, least_keyword: int = SHOWN_KEYWORDS) -> DataFrame:
+    """``(layer, tag, n)`` of all layers; keywords from ``least_keyword`` records on."""
+    each = F.array(*[F.struct(F.lit(x).alias("layer"), F.col(c).alias("tags")) for x, c in ALL_LAYERS.items()])
+    long = tagged.select(F.inline(each)).select("layer", F.explode_outer("tags").alias("tag")).where("tag is not null")
+    n = long.groupBy("layer", "tag").agg(F.count("*").alias("n"))
+    return n.where((F.col("layer") != "keyword") | (F.col("n") >= least_keyword))
+
+
+def tag_layer(tag: Column) -> Column:
+    """The first layer of a tagged record that has the tag; ``topic`` if none has."""
+    return F.coalesce(*[F.when(F.array_contains(c, tag), x) for x, c in ALL_LAYERS.items()], F.lit("topic"))
+
+
+def short_tags(most: int = 3) -> Column:
+    """At most two tags each of topic, task and method, ``most`` in all, for a summary's input."""
+    two = lambda c: F.slice(F.filter(c, lambda t: t != "Uncategorized"), 1, 2)
+    return F.coalesce(C.presence(F.array_join(F.slice(F.array_distinct(F.concat(two("topic"), two("task"), two("method"))), 1, most), "、")), F.lit("未分类"))
+
+
+def resolved_tags(items: DataFrame, cache: DataFrame, answers: DataFrame, key: str, order: str, version: str) -> DataFrame:
+    """Adds ``resolved`` and ``origin``: tags of a model's answer, else of the cache if it is of ``version``, else by rule.
+
+    ``cache`` and ``answers`` have the key, ``tags`` and ``order``; of repeated keys the first by ``order`` counts. Null
+    keys match nothing.
+    """
+    one = lambda t, name: t.where(F.col(key).isNotNull()).groupBy(key).agg(F.min_by(F.struct("tags", *(["version"] if name == "c" else [])), order).alias(f"_{name}"))
+    j = bookmark_rule_tags(items).join(one(cache, "c"), key, "left").join(one(answers, "m"), key, "left")
+    cached = F.when(F.col("_c.version") == version, F.col("_c.tags"))
+    origin = F.when(F.col("_m.tags").isNotNull(), "model").when(cached.isNotNull(), "cache").otherwise("rule")
+    return j.withColumns({"resolved": F.coalesce("_m.tags", cached, "rule_tags"), "origin": origin}).drop("_c", "_m")
+
+
 def long_tags(layers: DataFrame, key: str = "paper_id") -> DataFrame:
     """``(key, layer, tag, ord)`` of the rule layers.
 

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import clean as C
 from ..functions import rules as R
 from ..functions.clean import let
+from ..runtime import stored
+from .skew import lookup
 
 MIN_ABSTRACT = 80
 NEEDS_LOOKUP = ("title_is_filename", "junk_title", "missing_abstract", "missing_pub_year", "invalid_arxiv_id", "suspicious_tag", "folder_topic_mismatch")
@@ -39,17 +41,18 @@ def metadata_issues(as_of: int) -> list[Column]:
     return out
 
 
+def _word_map(layers: tuple[str, ...]) -> Column:
+    return F.create_map(*[v for x in layers for t in R.TAXONOMY[x] for v in (F.lit(f"{x}:{t}"), F.array(*map(F.lit, R.tag_words(x, t))))])
+
+
 def tag_issues(x: Column) -> list[Column]:
     """Tags without one of their words in the text, a topic that the words suggest, tags that contradict the text."""
     t = x["toks"]
     some = F.size(t) > 0
     out = []
-    for layer in R.LAYERS:
-        for tag in R.TAXONOMY[layer]:
-            words = F.array(*map(F.lit, R.tag_words(layer, tag)))
-            out.append(_issue(some & F.array_contains(x[layer], tag) & ~F.arrays_overlap(words, t), "suspicious_tag", "warning", F.lit(f"{layer}:{tag}")))
     none = (F.size(x["topic"]) == 0) | F.array_contains(x["topic"], "Uncategorized")
-    suggest = F.coalesce(*[F.when(F.size(F.array_intersect(F.array(*map(F.lit, R.tag_words("topic", tag))), t)) >= 2, F.lit(tag)) for tag in R.TAXONOMY["topic"]])
+    # a tag needs two of its words: only where none is set are the words looked at
+    suggest = F.coalesce(*[F.when(some & none & (F.size(F.array_intersect(F.array(*map(F.lit, R.tag_words("topic", tag))), t)) >= 2), F.lit(tag)) for tag in R.TAXONOMY["topic"]])
     out.append(_issue(some & none & suggest.isNotNull(), "missing_topic", "info", suggest))
     for tag, layers, words in R.CONTRADICTIONS:
         for layer in layers:
@@ -57,6 +60,18 @@ def tag_issues(x: Column) -> list[Column]:
     return out
 
 
+def _prefixed(tags: Column, prefix: str) -> Column:
+    return F.transform(tags, lambda t: F.concat(F.lit(prefix), t))
+
+
+def doubtful_tags(x: Column) -> Column:
+    """An issue for each tag that a record has without one of its words, in the layers' order."""
+    words, t = _word_map(R.LAYERS), x["toks"]
+    names = F.concat(*[_prefixed(x[layer], f"{layer}:") for layer in R.LAYERS])
+    bad = F.filter(names, lambda n: (F.size(t) > 0) & ~F.coalesce(F.arrays_overlap(F.try_element_at(words, n), t), F.lit(True)))
+    return F.transform(bad, lambda n: F.struct(F.lit("suspicious_tag").alias("type"), F.lit("warning").alias("severity"), n.alias("detail")))
+
+
 def folder_issues(x: Column) -> list[Column]:
     """Records whose tags or words have nothing of what their folder stands for. Folders that take anything are spared."""
     out, toks, have = [], x["toks"], F.concat(x["topic"], x["folder_tags"], x["method"])
@@ -74,7 +89,7 @@ def validated(layers: DataFrame, as_of: int) -> DataFrame:
     toks = F.array_distinct(C.tokens(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("abstract", F.lit("")))))
     # tokens and tags are bound once: as plain columns they would be worked out again in each of the checks
     bound = F.struct(toks.alias("toks"), *R.LAYERS, "folder_tags")
-    checks = F.array_compact(F.concat(F.array(*metadata_issues(as_of)), let(bound, lambda x: F.array(*tag_issues(x), *folder_issues(x)))))
+    checks = F.concat(F.array_compact(F.array(*metadata_issues(as_of))), let(bound, lambda x: F.concat(doubtful_tags(x), F.array_compact(F.array(*tag_issues(x), *folder_issues(x))))))
     return layers.withColumn("issues", checks).withColumn("confidence", let(F.col("issues"), confidence))
 
 
@@ -99,6 +114,66 @@ def title_conflicts(papers: DataFrame) -> DataFrame:
     return g.where("n > 1 and n_ids > 1")
 
 
+def with_title_conflicts(validated_papers: DataFrame) -> DataFrame:
+    """``issues`` with the conflict of each title that records of different ids share. The titles are a hot key's worth
+    of rows at most each, and few: they are looked up."""
+    t = F.lower(F.trim("title"))
+    bad = stored(title_conflicts(validated_papers).select(F.col("title_key").alias("_t"), "n", F.lit(True).alias("_bad")), "title_conflicts")
+    total, hottest = bad.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    j = lookup(validated_papers.withColumn("_t", t), bad, "_t", "n", total, hottest, "left")
+    one = F.array(F.struct(F.lit("duplicate_title_conflict").alias("type"), F.lit("warning").alias("severity"), F.col("_t").alias("detail")))
+    return j.withColumn("issues", F.when(F.col("_bad"), F.concat("issues", one)).otherwise(F.col("issues"))).drop("_t", "_bad")
+
+
+def flags() -> Column:
+    """The kinds of a record's errors and warnings, sorted."""
+    loud = F.filter("issues", lambda i: i.severity.isin("error", "warning"))
+    return F.array_sort(F.array_distinct(F.transform(loud, lambda i: i.type)))
+
+
+def _issue_counts(v: DataFrame, kinds: tuple[str, ...], most: int) -> DataFrame:
+    each = v.select(F.explode_outer(F.filter("issues", lambda i: i.type.isin(*kinds))).alias("i")).where("i is not null")
+    return each.groupBy(F.col("i.detail").alias("detail")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "detail").limit(most)
+
+
+def suspicious_tags(v: DataFrame, most: int = 20) -> DataFrame:
+    """``(layer, tag, n)`` of the tags that most often lack support in the text."""
+    return _issue_counts(v, ("suspicious_tag",), most).select(F.substring_index("detail", ":", 1).alias("layer"), F.regexp_replace("detail", "^[^:]*:", "").alias("tag"), "n")
+
+
+def folder_mismatches(v: DataFrame, most: int = 20) -> DataFrame:
+    """``(folder, n)`` of the folders whose records most often don't fit them."""
+    return _issue_counts(v, ("folder_topic_mismatch", "folder_content_mismatch"), most).withColumnRenamed("detail", "folder")
+
+
+def category_report(tagged: DataFrame) -> DataFrame:
+    """``(metric, n, share)``: records with each layer, without a topic, with a folder tag that repeats a topic."""
+    bare = (F.size("topic") == 0) | (F.col("topic") == F.array(F.lit("Uncategorized")))
+    tests = {**{f"has_{x}": F.size(x) > 0 for x in (*R.LAYERS, "keyword")}, "no_topic": bare, "folder_in_topic": F.arrays_overlap("folder_tags", "topic")}
+    each = F.array(*[F.struct(F.lit(k).alias("metric"), F.coalesce(c, F.lit(False)).alias("yes")) for k, c in tests.items()])
+    g = tagged.select(F.inline(each)).groupBy("metric").agg(F.count_if("yes").alias("n"), F.count("*").alias("of"))
+    return g.select("metric", "n", F.round(100.0 * F.col("n") / F.greatest("of", F.lit(1)), 1).alias("share"))
+
+
+TITLE_MATCH, MAX_SUGGESTIONS = 0.7, 5
+
+
+def against_response(papers: DataFrame, title: Column, text: Column) -> DataFrame:
+    """Adds ``status`` (not_found, mismatch, verified), ``similarity`` of the titles, and ``suggestions``: tags, in the
+    rules' order, that the record lacks (array ``mine``) though the response's ``text`` has two of their words.
+
+    A record without a title stands with its file's name. A null ``title`` is no response.
+    """
+    own = F.coalesce(C.presence(F.col("title")), "stem")
+    # worked out once each
+    p = papers.withColumn("_sim", F.round(C.token_similarity(C.title_tokens(own), C.title_tokens(title)), 3))
+    hit = lambda t, x, tag: F.when(~F.array_contains("mine", tag) & (F.size(F.array_intersect(F.array(*map(F.lit, R.tag_words(x, tag))), t)) >= 2), tag)
+    tips = let(F.array_distinct(C.tokens(text)), lambda t: F.array_compact(F.array(*[hit(t, x, tag) for x in R.LAYERS for tag in R.TAXONOMY[x]])))
+    there = title.isNotNull()
+    status = F.when(~there, "not_found").when(F.col("_sim") < TITLE_MATCH, "mismatch").otherwise("verified")
+    return p.withColumns({"status": status, "similarity": F.when(there, F.col("_sim")), "suggestions": F.when(there, F.slice(tips, 1, MAX_SUGGESTIONS))}).drop("_sim")
+
+
 def layer_coverage(layers: DataFrame) -> DataFrame:
     """``(layer, n, share)``: records with a tag of the layer, in percent of all."""
     each = F.array(*[F.struct(F.lit(x).alias("layer"), (F.size(x) > 0).alias("has")) for x in R.LAYERS])

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import clean as C
 from ..functions import rules as R
 from ..operators import clean, dedupe, enrich, graph, incremental, people, search, stats, summary, tagging, validate
+from ..runtime import spread, stored
+from ..sources import library
 from ..sources.library import table
 from . import sql as S
 
@@ -35,6 +37,11 @@ def papers(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "library_papers")
 
 
+def wide_papers(spark: SparkSession, d: str) -> DataFrame:
+    """The papers for work that costs far more than moving a row."""
+    return spread(papers(spark, d))
+
+
 def bookmarks(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "bookmarks")
 
@@ -56,7 +63,7 @@ _VOCAB = f"""toks AS (SELECT paper_id, {_PTOK} AS ts FROM library_papers),
   s AS (SELECT paper_id, term, pos, round((1 + ln(tf)) * idf, 9) AS score FROM tf JOIN vocab USING (term))
   SELECT paper_id, term, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY score DESC, pos)::INT AS rank FROM s WHERE score > 0.8) WHERE rank <= 3""")
 def tfidf_keywords(spark: SparkSession, d: str) -> DataFrame:
-    p = papers(spark, d)
+    p = wide_papers(spark, d)
     t = _toks(p).select("paper_id", "toks")
     kw = tagging.keywords(t, "paper_id", "toks", tagging.vocabulary(t, "toks", p.count()))
     return kw.select("paper_id", "term", F.round("score", 6).alias("score"), "rank")
@@ -76,19 +83,26 @@ def document_terms(spark: SparkSession, d: str) -> DataFrame:
 # --- cleaning ----------------------------------------------------------------------------------------------------
 
 
-@query()
+@query(f"SELECT reason, count(*) AS n FROM (SELECT unnest(junk) AS reason FROM {S.with_junk('scan_records', chr(39).join(('title_source = ', 'stem', '')))}) GROUP BY reason")
 def junk_reasons(spark: SparkSession, d: str) -> DataFrame:
     """(reason, n) over the scanned titles."""
     s = table(spark, d, "scan_records").withColumn("title_is_filename", F.col("title_source") == "stem")
     return clean.with_junk(s).select(F.explode("junk").alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"SELECT scan_id, array_to_string(junk, '|') AS reasons FROM {S.with_junk('scan_records', chr(39).join(('title_source = ', 'stem', '')))} WHERE len(junk) > 0")
+def junk_titles(spark: SparkSession, d: str) -> DataFrame:
+    """The scanned titles that are junk, with every reason."""
+    s = table(spark, d, "scan_records").withColumn("title_is_filename", F.col("title_source") == "stem")
+    return clean.with_junk(s).where(F.size("junk") > 0).select("scan_id", F.array_join("junk", "|").alias("reasons"))
+
+
+@query(f"SELECT paper_id, exclude_reason FROM {S.excluded('library_papers')} WHERE exclude_reason IS NOT NULL")
 def excluded_papers(spark: SparkSession, d: str) -> DataFrame:
     return clean.excluded(papers(spark, d)).where("exclude_reason is not null").select("paper_id", "exclude_reason")
 
 
-@query()
+@query(f"SELECT exclude_reason, count(*) AS n FROM {S.excluded('library_papers')} GROUP BY 1")
 def exclusion_counts(spark: SparkSession, d: str) -> DataFrame:
     return clean.excluded(papers(spark, d)).groupBy("exclude_reason").agg(F.count("*").alias("n"))
 
@@ -102,7 +116,7 @@ def _id_part(c: str, part: str) -> str:
     return f"(CASE WHEN {y} >= 91 THEN 1900 ELSE 2000 END + {y})" if part == "year" else f"substr({S.stripped(c)}, 3, 2)::INT"
 
 
-@query(f"""WITH a AS (SELECT *, {S.valid_id('arxiv_id', AS_OF)} AS valid, CASE WHEN {S.valid_id(_STEM_ID, AS_OF)} THEN {_STEM_ID} END AS named,
+_REPAIRED = f"""WITH a AS (SELECT *, {S.valid_id('arxiv_id', AS_OF)} AS valid, CASE WHEN {S.valid_id(_STEM_ID, AS_OF)} THEN {_STEM_ID} END AS named,
     CASE WHEN try_cast(nullif({_STEM}, '') AS INT) BETWEEN 1990 AND {AS_OF} THEN try_cast({_STEM} AS INT) END AS named_year FROM library_papers),
   b AS (SELECT *, valid AND (pub_date_source IS NULL OR pub_date_source = 'arxiv_id') AS by_id, (NOT valid AND coalesce(pub_date_source IN ('arxiv_id', 'arxiv_api'), false))
     OR coalesce(NOT valid AND regexp_matches(arxiv_id, '^[0-9]{{4}}[.]') AND pub_date_source IS NULL AND pub_year = 2000 + try_cast(substr(arxiv_id, 1, 2) AS INT)
@@ -114,12 +128,15 @@ def _id_part(c: str, part: str) -> str:
     CASE WHEN valid THEN {S.stripped('arxiv_id')} END AS aid FROM d),
   f AS (SELECT *, aid IS NULL AND named IS NOT NULL AND y IS NULL AS by_name, y IS NULL AND named_year IS NOT NULL AS by_year FROM e)
   SELECT paper_id, coalesce(aid, named) AS arxiv_id, CASE WHEN by_name THEN {_id_part('named', 'year')} WHEN by_year THEN named_year ELSE y END AS pub_year,
-    CASE WHEN by_name THEN {_id_part('named', 'month')} ELSE m END AS pub_month, CASE WHEN by_name THEN 'arxiv_id' WHEN by_year THEN 'filename' ELSE s END AS pub_date_source FROM f""")
+    CASE WHEN by_name THEN {_id_part('named', 'month')} ELSE m END AS pub_month, CASE WHEN by_name THEN 'arxiv_id' WHEN by_year THEN 'filename' ELSE s END AS pub_date_source FROM f"""
+
+
+@query(_REPAIRED)
 def repaired_dates(spark: SparkSession, d: str) -> DataFrame:
     return clean.repaired_dates(papers(spark, d), AS_OF).select("paper_id", "arxiv_id", "pub_year", "pub_month", "pub_date_source")
 
 
-@query()
+@query(f"""SELECT paper_id, coalesce(title_is_filename, false) OR r.pub_year IS NULL OR len(junk) > 0 AS needs_review FROM {S.with_junk('library_papers')} JOIN ({_REPAIRED}) r USING (paper_id)""")
 def review_marks(spark: SparkSession, d: str) -> DataFrame:
     """(paper_id, needs_review) after the repair of the dates."""
     return clean.repaired_dates(papers(spark, d), AS_OF).select("paper_id", "needs_review")
@@ -150,22 +167,66 @@ def stem_titles(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "scan_records").select("scan_id", C.title_from_stem(F.col("stem")).alias("title"))
 
 
-@query()
+@query(f"SELECT paper_id, array_to_string(names, '|') AS names, wrong FROM {S.cleaned_authors()}")
 def clean_authors(spark: SparkSession, d: str) -> DataFrame:
     a = F.col("authors")
-    return papers(spark, d).select("paper_id", F.array_join(people.clean_authors(a), "|").alias("names"), people.authors_look_wrong(a).alias("wrong"))
+    return wide_papers(spark, d).select("paper_id", F.array_join(people.clean_authors(a), "|").alias("names"), people.authors_look_wrong(a).alias("wrong"))
+
+
+_OLD_NEW = f"""SELECT count(*) FILTER (p.arxiv_id IS DISTINCT FROM r.arxiv_id OR p.pub_year IS DISTINCT FROM r.pub_year OR p.pub_month IS DISTINCT FROM r.pub_month) AS n_dates FROM library_papers p JOIN ({_REPAIRED}) r USING (paper_id)"""
+
+
+@query(f"""SELECT (SELECT n_dates FROM ({_OLD_NEW})) AS n_dates, (SELECT count(*) FROM library_papers p JOIN {S.cleaned_authors()} USING (paper_id) WHERE len(authors) > 0 AND (wrong OR names <> authors)) AS n_authors,
+  (SELECT count(*) FROM {S.with_junk('library_papers')} WHERE len(junk) > 0) AS n_titles, (SELECT count(*) FROM library_papers WHERE pub_year > {AS_OF}) AS n_future""")
+def cache_repairs(spark: SparkSession, d: str) -> DataFrame:
+    """How many cached records a repair of dates, authors and titles changes, and how many years are still to come."""
+    old = wide_papers(spark, d).withColumns({f"old_{c}": F.col(c) for c in ("arxiv_id", "pub_year", "pub_month")})
+    new = clean.repaired_dates(clean.with_junk(old).withColumnRenamed("junk", "junk_title"), AS_OF)
+    moved = ~(F.col("old_arxiv_id").eqNullSafe(F.col("arxiv_id")) & F.col("old_pub_year").eqNullSafe(F.col("pub_year")) & F.col("old_pub_month").eqNullSafe(F.col("pub_month")))
+    a = F.col("authors")
+    other = (F.size(a) > 0) & (people.authors_look_wrong(a) | (people.clean_authors(a) != a))
+    return new.agg(
+        F.count_if(moved).alias("n_dates"), F.count_if(other).alias("n_authors"), F.count_if(F.size("junk_title") > 0).alias("n_titles"), F.count_if(F.col("old_pub_year") > AS_OF).alias("n_future")
+    )
+
 
+def _sql_titles() -> str:
+    one = lambda c: S.junk(c, "coalesce(stem, '')", "file")
+    named = r"trim(regexp_replace(regexp_replace(stem, '^[0-9]{4}\.[0-9]{4,5}(?:v[0-9]+)?[_\-]*', ''), '[_\-]+', ' ', 'g'))"
+    return f"""(SELECT scan_id, CASE WHEN len({one('t0')}) = 0 THEN 'ok' WHEN given <> '' AND len({one('t1')}) = 0 THEN 'provider' WHEN named IS NOT NULL AND len({one('t2')}) = 0 THEN 'stem' ELSE 'still_junk' END AS method, title, given, named
+      FROM (SELECT *, {S.bare_title('title')} AS t0, {S.bare_title('given')} AS t1, {S.bare_title('named')} AS t2 FROM (SELECT s.scan_id, s.title, s.stem, coalesce(s.title_source = 'stem', false) AS file, p.title AS given,
+        CASE WHEN length({named.replace('stem', 's.stem')}) >= 3 AND NOT regexp_matches({named.replace('stem', 's.stem')}, '^[0-9\\s.\\-]+$') THEN {named.replace('stem', 's.stem')} END AS named
+        FROM scan_records s LEFT JOIN library_papers p USING (paper_id))))"""
 
-@query("""WITH y AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?:19|20)[0-9]{2}'))::INT AS yr, generate_subscripts(regexp_extract_all(text, '(?:19|20)[0-9]{2}'), 1) AS pos FROM documents),
-  n AS (SELECT doc_id, yr, count(*) AS n, min(pos) AS pos FROM y WHERE yr BETWEEN 1990 AND 2026 GROUP BY ALL)
-  SELECT doc_id, yr AS year, n FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, pos) AS r FROM n) WHERE r = 1""")
+
+def _titles(spark: SparkSession, d: str) -> DataFrame:
+    s = table(spark, d, "scan_records").withColumn("title_is_filename", F.coalesce(F.col("title_source") == "stem", F.lit(False)))
+    given = papers(spark, d).select("paper_id", F.col("title").alias("given"))
+    return enrich.repaired_titles(s.join(given, "paper_id", "left"), [("provider", F.col("given")), ("stem", C.title_from_stem(F.col("stem")))])
+
+
+@query(f"SELECT scan_id, method, CASE method WHEN 'provider' THEN given WHEN 'stem' THEN named ELSE title END AS title FROM {_sql_titles()} WHERE method <> 'ok'")
+def repaired_titles(spark: SparkSession, d: str) -> DataFrame:
+    """Junk titles replaced by the library's title of the same paper, else the file's name, unless those are junk too."""
+    return _titles(spark, d).where("method <> 'ok'").select("scan_id", "method", F.col("new_title").alias("title"))
+
+
+@query(f"SELECT method, count(*) AS n FROM {_sql_titles()} GROUP BY method")
+def title_audit(spark: SparkSession, d: str) -> DataFrame:
+    return _titles(spark, d).groupBy("method").agg(F.count("*").alias("n"))
+
+
+@query("""WITH t AS (SELECT scan_id, substr(concat_ws(' ', title, ckey, stem), 1, 3000) AS text FROM scan_records), y AS (SELECT scan_id, unnest(regexp_extract_all(text, '(?:19|20)[0-9]{2}'))::INT AS yr,
+  generate_subscripts(regexp_extract_all(text, '(?:19|20)[0-9]{2}'), 1) AS pos FROM t), n AS (SELECT scan_id, yr, count(*) AS n, min(pos) AS pos FROM y WHERE yr BETWEEN 1990 AND 2026 GROUP BY ALL)
+  SELECT scan_id, yr AS year, n FROM (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY n DESC, pos) AS r FROM n) WHERE r = 1""")
 def modal_year(spark: SparkSession, d: str) -> DataFrame:
-    return stats.modal_year(table(spark, d, "documents"), "doc_id", F.col("text"), AS_OF)
+    return stats.modal_year(table(spark, d, "scan_records"), "scan_id", F.concat_ws(" ", "title", "ckey", "stem"), AS_OF)
 
 
 # --- duplicates --------------------------------------------------------------------------------------------------
 
-_COMPONENTS = f"""WITH RECURSIVE k AS MATERIALIZED (SELECT paper_id, CASE WHEN {S.valid_id('arxiv_id', AS_OF)} THEN {S.stripped('arxiv_id')} END AS wid, {S.normalized_title('title')} AS norm, {S.title_tokens('title')} AS toks FROM library_papers),
+def _components(src: str = "library_papers") -> str:
+    return f"""WITH RECURSIVE k AS MATERIALIZED (SELECT paper_id, CASE WHEN {S.valid_id('arxiv_id', AS_OF)} THEN {S.stripped('arxiv_id')} END AS wid, {S.normalized_title('title')} AS norm, {S.title_tokens('title')} AS toks FROM {src}),
   clear AS (SELECT norm FROM k WHERE length(norm) > 10 GROUP BY norm HAVING count(DISTINCT wid) <= 1),
   e AS MATERIALIZED (SELECT a.paper_id AS a, b.paper_id AS b FROM k a JOIN k b ON a.wid = b.wid WHERE a.paper_id <> b.paper_id
     UNION SELECT a.paper_id, b.paper_id FROM k a JOIN k b ON a.norm = b.norm JOIN clear ON clear.norm = a.norm WHERE a.paper_id <> b.paper_id
@@ -175,32 +236,87 @@ _COMPONENTS = f"""WITH RECURSIVE k AS MATERIALIZED (SELECT paper_id, CASE WHEN {
   SELECT a AS paper_id, min(b) AS component FROM reach GROUP BY a"""
 
 
-@query(_COMPONENTS)
+@query(_components())
 def duplicate_components(spark: SparkSession, d: str) -> DataFrame:
     return dedupe.duplicate_groups(papers(spark, d), AS_OF)
 
 
-@query(f"SELECT count(*) AS n_groups, sum(n - 1)::BIGINT AS n_removable, max(n) AS largest FROM (SELECT component, count(*) AS n FROM ({_COMPONENTS}) GROUP BY component HAVING count(*) > 1)")
+@query(f"SELECT count(*) AS n_groups, sum(n - 1)::BIGINT AS n_removable, max(n) AS largest FROM (SELECT component, count(*) AS n FROM ({_components()}) GROUP BY component HAVING count(*) > 1)")
 def duplicate_audit(spark: SparkSession, d: str) -> DataFrame:
     g = dedupe.duplicate_groups(papers(spark, d), AS_OF).groupBy("component").agg(F.count("*").alias("n")).where("n > 1")
     return g.agg(F.count("*").alias("n_groups"), F.sum(F.col("n") - 1).alias("n_removable"), F.max("n").alias("largest"))
 
 
-@query()
+@query(f"""SELECT c.component, count(*) AS n, min(lower(trim(coalesce(title, ''), ' '))) AS title FROM ({_components()}) c JOIN library_papers USING (paper_id) GROUP BY 1 HAVING count(*) > 1 ORDER BY n DESC, c.component LIMIT 20""")
+def largest_duplicates(spark: SparkSession, d: str) -> DataFrame:
+    p = papers(spark, d)
+    g = dedupe.duplicate_groups(p, AS_OF).join(p.select("paper_id", "title"), "paper_id").groupBy("component").agg(F.count("*").alias("n"), F.min(F.lower(F.trim(F.coalesce("title", F.lit(""))))).alias("title"))
+    return g.where("n > 1").orderBy(F.desc("n"), "component").limit(20)
+
+
+def _sql_kept(src: str) -> str:
+    """The kept records in SQL; ``src`` is a table with ``junk``."""
+    vid, stem_id = S.valid_id("arxiv_id", AS_OF), S.valid_id(_STEM_ID, AS_OF)
+    own = f"coalesce({vid} AND (starts_with(coalesce(stem, ''), {S.stripped('arxiv_id')}) OR {stem_id} OR coalesce(pub_date_source IN ('pdf', 'arxiv_id', 'filename'), false)), false)"
+    rank = "CASE WHEN coalesce(folder, '') = 'paper-HKU' OR starts_with(coalesce(rel_path, ''), 'paper-HKU/') THEN 0 WHEN starts_with(coalesce(folder, ''), 'paper-') THEN 1 ELSE 2 END"
+    best = f"(length(coalesce(abstract, '')) > 50) DESC, length(coalesce(abstract, '')) DESC, {own} DESC, (len(junk) = 0) DESC, {rank}, length(coalesce(rel_path, '')), coalesce(epoch_us(mtime), 0) DESC, coalesce(size_bytes, 0) DESC, paper_id"
+    return f"""(WITH p AS (SELECT x.*, c.component, {vid} AS vid FROM {src} x JOIN ({_components(src)}) c USING (paper_id)), k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY component ORDER BY {best}) AS r FROM p) WHERE r = 1),
+      g AS (SELECT component, arg_min(abstract, paper_id) FILTER (coalesce(abstract, '') <> '') AS fa, arg_min(struct_pack(o := paper_id, i := arxiv_id, s := pub_date_source), paper_id) FILTER (vid) AS fi,
+        arg_min(struct_pack(o := paper_id, y := pub_year, m := pub_month, s := pub_date_source), paper_id) FILTER (coalesce(pub_year, 0) <> 0) AS fy,
+        bool_or(NOT coalesce(needs_review, false)) AS clear, count(*) AS n, count(DISTINCT rel_path) AS paths FROM p GROUP BY component),
+      j AS (SELECT k.*, g.* EXCLUDE (component), NOT k.vid AND fi IS NOT NULL AS ni, coalesce(k.pub_year, 0) = 0 AND fy IS NOT NULL AS ny FROM k JOIN g USING (component))
+      SELECT component, paper_id, title, CASE WHEN coalesce(abstract, '') <> '' THEN abstract ELSE fa END AS abstract, CASE WHEN ni THEN fi.i ELSE arxiv_id END AS arxiv_id, CASE WHEN ny THEN fy.y ELSE pub_year END AS pub_year,
+        CASE WHEN ny THEN fy.m ELSE pub_month END AS pub_month, coalesce(CASE WHEN ni AND ny THEN CASE WHEN fi.o > fy.o THEN coalesce(fi.s, fy.s) ELSE coalesce(fy.s, fi.s) END WHEN ni THEN fi.s WHEN ny THEN fy.s END, pub_date_source) AS pub_date_source,
+        coalesce(needs_review, false) AND NOT clear AS needs_review, n AS n_members, paths - CASE WHEN rel_path IS NOT NULL THEN 1 ELSE 0 END AS n_other_paths FROM j)"""
+
+
+@query(f"WITH src AS MATERIALIZED (SELECT * FROM {S.with_junk('library_papers')}) SELECT * FROM {_sql_kept('src')}")
 def kept_records(spark: SparkSession, d: str) -> DataFrame:
     p = papers(spark, d)
     return dedupe.kept_records(p, dedupe.duplicate_groups(p, AS_OF), AS_OF)
 
 
-@query()
-def unparsed(spark: SparkSession, d: str) -> DataFrame:
-    """(paper_id, reason) of what the library doesn't show: excluded before duplicate before no date."""
-    p = papers(spark, d)
-    kept = dedupe.kept_records(p, dedupe.duplicate_groups(p, AS_OF), AS_OF).select("paper_id")
-    rows = clean.excluded(p).where("exclude_reason is not null").select("paper_id", F.lit("excluded").alias("reason"))
+_UNPARSED = f"""(WITH every AS MATERIALIZED (SELECT * FROM {S.excluded('library_papers')}), src AS MATERIALIZED (SELECT * FROM every WHERE exclude_reason IS NULL), kept AS MATERIALIZED (SELECT * FROM {_sql_kept('src')})
+  SELECT paper_id, exclude_reason AS reason FROM every WHERE exclude_reason IS NOT NULL UNION ALL SELECT paper_id, 'duplicate' FROM src WHERE paper_id NOT IN (SELECT paper_id FROM kept)
+  UNION ALL SELECT paper_id, 'no_pub_date' FROM kept WHERE coalesce(pub_year, 0) = 0)"""
+
+
+def _unparsed(spark: SparkSession, d: str) -> DataFrame:
+    every = stored(clean.excluded(papers(spark, d)), "every_paper")
+    p = every.where("exclude_reason is null").drop("junk")
+    kept = stored(dedupe.kept_records(p, dedupe.duplicate_groups(p, AS_OF), AS_OF).select("paper_id", "pub_year"), "kept")
+    rows = every.where("exclude_reason is not null").select("paper_id", F.col("exclude_reason").alias("reason"))
     rows = rows.unionByName(p.join(kept, "paper_id", "left_anti").select("paper_id", F.lit("duplicate").alias("reason")))
-    rows = rows.unionByName(p.where(F.coalesce("pub_year", F.lit(0)) == 0).select("paper_id", F.lit("no_pub_date").alias("reason")))
-    return incremental.by_priority(rows, "paper_id", ["excluded", "duplicate", "no_pub_date"])
+    return rows.unionByName(kept.where(F.coalesce("pub_year", F.lit(0)) == 0).select("paper_id", F.lit("no_pub_date").alias("reason")))
+
+
+@query(f"SELECT * FROM {_UNPARSED}")
+def unparsed(spark: SparkSession, d: str) -> DataFrame:
+    """(paper_id, reason) of what the library doesn't show: what a rule excludes, then the duplicates of the rest, then
+    the kept records without a year. A record has one reason, as each step works on what the one before has left."""
+    return _unparsed(spark, d)
+
+
+@query(f"SELECT reason, count(*) AS n FROM {_UNPARSED} WHERE reason <> 'duplicate' GROUP BY reason ORDER BY n DESC, reason LIMIT 4")
+def unparsed_reasons(spark: SparkSession, d: str) -> DataFrame:
+    """The four most frequent reasons; duplicates stay hidden unless asked for."""
+    return search.unparsed_reasons(_unparsed(spark, d))
+
+
+@query(f"""SELECT paper_id, reason, row_number() OVER (ORDER BY mtime DESC NULLS LAST, coalesce(stem, ''), paper_id)::INT AS place FROM {_UNPARSED} JOIN library_papers USING (paper_id)
+  WHERE reason <> 'duplicate' AND library = 'robotics' AND contains(lower(concat_ws(' ', stem, title, rel_path, file_path, folder, reason)), 'paper') ORDER BY place LIMIT 50""")
+def unparsed_page(spark: SparkSession, d: str) -> DataFrame:
+    """The first page of what isn't shown, filtered by library and text, newest first."""
+    rows = _unparsed(spark, d).join(papers(spark, d), "paper_id")
+    return search.unparsed_page(search.unparsed(rows, "paper", library="robotics"), 0, 50).select("paper_id", "reason", "place")
+
+
+@query(f"""SELECT paper_id, row_number() OVER (ORDER BY mtime DESC, paper_id)::INT AS place FROM library_papers WHERE mtime > birthtime + INTERVAL 120 SECOND AND mtime >= TIMESTAMP '{AS_OF_TIME}' - INTERVAL 120 DAY AND library = 'driving'
+  ORDER BY place LIMIT 50""")
+def recent_reading(spark: SparkSession, d: str) -> DataFrame:
+    """What was read of one library in the last days, the latest first."""
+    p = papers(spark, d).where(stats.was_read(F.lit(AS_OF_TIME).cast("timestamp_ntz"), 120) & (F.col("library") == "driving"))
+    return search.placed(p, [F.desc("mtime"), F.col("paper_id")], 0, 50).select("paper_id", "place")
 
 
 @query(f"""SELECT url_key, item_id, d AS date_added, title, first_id, n FROM (SELECT *, row_number() OVER (PARTITION BY url_key ORDER BY d DESC, length(coalesce(title, '')) DESC, item_id) AS r,
@@ -229,7 +345,7 @@ def bookmark_keys(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT item_id, array_to_string(rt, '|') AS rule_tags FROM {S.bookmark_tags()}")
 def bookmark_tags(spark: SparkSession, d: str) -> DataFrame:
-    return tagging.bookmark_rule_tags(bookmarks(spark, d)).select("item_id", F.array_join("rule_tags", "|").alias("rule_tags"))
+    return tagging.bookmark_rule_tags(spread(bookmarks(spark, d))).select("item_id", F.array_join("rule_tags", "|").alias("rule_tags"))
 
 
 @query("SELECT tag, count(*) AS n FROM (SELECT unnest(tags) AS tag FROM bookmarks) GROUP BY tag")
@@ -264,11 +380,25 @@ def bookmark_sidebar(spark: SparkSession, d: str) -> DataFrame:
     return bookmarks(spark, d).where(search.bookmark_matches("notes")).select(F.explode("tags").alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))
 
 
+@query(f"""WITH r AS (SELECT item_id, rt FROM {S.bookmark_tags()}), b AS (SELECT *, substr(sha256({S.url_key('url')}), 1, 16) AS k FROM bookmarks),
+  c AS (SELECT k, arg_min(struct_pack(t := tags, v := CASE WHEN primary_tag IS NULL THEN 'old' ELSE 'now' END), item_id) AS c FROM b WHERE len(tags) > 0 AND platform = 'chrome' AND k IS NOT NULL GROUP BY k),
+  m AS (SELECT k, arg_min(tags, item_id) AS t FROM b WHERE len(tags) > 0 AND platform = 'zhihu' AND k IS NOT NULL GROUP BY k)
+  SELECT item_id, array_to_string(coalesce(m.t, CASE WHEN c.c.v = 'now' THEN c.c.t END, rt), '|') AS tags, CASE WHEN m.t IS NOT NULL THEN 'model' WHEN c.c.v = 'now' THEN 'cache' ELSE 'rule' END AS origin
+  FROM b JOIN r USING (item_id) LEFT JOIN c USING (k) LEFT JOIN m USING (k)""")
+def resolved_bookmark_tags(spark: SparkSession, d: str) -> DataFrame:
+    """Tags of a landed model answer, else of the cache if it is of this version, else by rule."""
+    b = bookmarks(spark, d).withColumn("k", C.stable_id(F.col("url")))
+    version = F.when(F.col("primary_tag").isNull(), "old").otherwise("now")
+    known = lambda p: b.where((F.size("tags") > 0) & (F.col("platform") == p)).select("k", "tags", "item_id", version.alias("version"))
+    got = tagging.resolved_tags(spread(b), known("chrome"), known("zhihu"), "k", "item_id", "now")
+    return got.select("item_id", F.array_join("resolved", "|").alias("tags"), "origin")
+
+
 # --- tags --------------------------------------------------------------------------------------------------------
 
 
 def _layers(spark: SparkSession, d: str) -> DataFrame:
-    return tagging.rule_layers(papers(spark, d))
+    return tagging.rule_layers(wide_papers(spark, d))
 
 
 _LONG = " UNION ALL ".join(f"SELECT paper_id, '{x}' AS layer, unnest({x}) AS tag FROM l" for x in R.LAYERS)
@@ -296,17 +426,50 @@ def _canon(x: str) -> str:
 _CATEGORY = "CASE coalesce(arxiv_cat, '') " + " ".join(f"WHEN {S.q(c)} THEN [{S.q(t)}]" for c, t in R.CATEGORY_TAGS.items()) + " ELSE []::VARCHAR[] END"
 
 
-@query(f"""WITH {_VOCAB}, tf AS (SELECT paper_id, term, count(*) AS tf, min(pos) AS pos FROM (SELECT paper_id, unnest(ts) AS term, generate_subscripts(ts, 1) AS pos FROM toks) GROUP BY ALL),
+_TAGGED = f"""(WITH {_VOCAB}, tf AS (SELECT paper_id, term, count(*) AS tf, min(pos) AS pos FROM (SELECT paper_id, unnest(ts) AS term, generate_subscripts(ts, 1) AS pos FROM toks) GROUP BY ALL),
   sc AS (SELECT paper_id, term, pos, round((1 + ln(tf)) * idf, 9) AS score FROM tf JOIN vocab USING (term)),
   kw AS (SELECT paper_id, list(term ORDER BY r) AS kws FROM (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY score DESC, pos) AS r FROM sc WHERE score > 0.8) WHERE r <= 3 GROUP BY paper_id),
-  l AS (SELECT paper_id, list_concat(topic, method, task, modality, folder_tags, {_CATEGORY}) AS s, coalesce(kws, []) AS kws FROM {S.layers()} LEFT JOIN kw USING (paper_id)),
-  k AS (SELECT paper_id, s, list_filter(kws, lambda x: NOT list_contains(list_transform(s, lambda t: lower({_canon('t')})), lower({_canon('x')}))) AS keyword FROM l),
-  e AS (SELECT paper_id, keyword, list_transform(list_concat(s, keyword), lambda t: {_canon('t')}) AS every FROM k)
-  SELECT paper_id, CASE WHEN len(every) = 0 THEN 'Uncategorized' ELSE array_to_string(list_filter(every, lambda x, i: list_position(list_transform(every, lambda t: lower(t)), lower(x)) = i), '|') END AS all_tags,
-    array_to_string(keyword, '|') AS keyword FROM e""")
+  l AS (SELECT *, list_concat(topic, method, task, modality, folder_tags, category_tags) AS s, coalesce(kws, []) AS kws0 FROM (SELECT *, {_CATEGORY} AS category_tags FROM {S.layers()}) LEFT JOIN kw USING (paper_id)),
+  k AS (SELECT *, list_filter(kws0, lambda x: NOT list_contains(list_transform(s, lambda t: lower({_canon('t')})), lower({_canon('x')}))) AS keyword FROM l),
+  e AS (SELECT *, list_transform(list_concat(s, keyword), lambda t: {_canon('t')}) AS every FROM k)
+  SELECT * EXCLUDE (topic), CASE WHEN len(every) = 0 THEN ['Uncategorized'] ELSE topic END AS topic,
+    CASE WHEN len(every) = 0 THEN ['Uncategorized'] ELSE list_filter(every, lambda x, i: list_position(list_transform(every, lambda t: lower(t)), lower(x)) = i) END AS tags FROM e)"""
+
+
+@query(f"SELECT paper_id, array_to_string(tags, '|') AS all_tags, array_to_string(keyword, '|') AS keyword FROM {_TAGGED}")
 def all_tags(spark: SparkSession, d: str) -> DataFrame:
     """Every record with its tags of all layers, keywords included."""
-    return tagging.tagged(papers(spark, d)).select("paper_id", F.array_join("all_tags", "|").alias("all_tags"), F.array_join("keyword", "|").alias("keyword"))
+    return tagging.tagged(wide_papers(spark, d)).select("paper_id", F.array_join("all_tags", "|").alias("all_tags"), F.array_join("keyword", "|").alias("keyword"))
+
+
+@query(f"SELECT tag, count(*) AS n FROM (SELECT unnest(tags) AS tag FROM {_TAGGED}) GROUP BY tag ORDER BY n DESC, tag LIMIT 200")
+def tag_counts(spark: SparkSession, d: str) -> DataFrame:
+    """The 200 most frequent tags of all layers."""
+    return tagging.tag_counts(tagging.tagged(wide_papers(spark, d)))
+
+
+@query(f"""WITH t AS MATERIALIZED (SELECT * FROM {_TAGGED}) SELECT count(*) AS total, count(*) FILTER (tags = ['Uncategorized']) AS uncategorized, (SELECT count(DISTINCT tag) FROM (SELECT unnest(tags) AS tag FROM t)) AS unique_tags FROM t""")
+def tag_totals(spark: SparkSession, d: str) -> DataFrame:
+    return tagging.tag_totals(tagging.tagged(wide_papers(spark, d)))
+
+
+_EVERY_LAYER = " UNION ALL ".join(f"SELECT '{n}' AS layer, unnest({c}) AS tag FROM t" for n, c in tagging.ALL_LAYERS.items())
+
+
+@query(f"WITH t AS MATERIALIZED (SELECT * FROM {_TAGGED}) SELECT layer, tag, count(*) AS n FROM ({_EVERY_LAYER}) GROUP BY ALL HAVING layer <> 'keyword' OR count(*) >= 10")
+def all_layer_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Tags by layer, with the folder's, the category's and the frequent keywords."""
+    return tagging.all_layer_counts(tagging.tagged(wide_papers(spark, d)))
+
+
+_COVER = " UNION ALL ".join(f"SELECT 'has_{x}' AS metric, count(*) FILTER (len({x}) > 0) AS n, count(*) AS total FROM t" for x in (*R.LAYERS, "keyword"))
+
+
+@query(f"""WITH t AS MATERIALIZED (SELECT * FROM {_TAGGED}) SELECT metric, n, round(100.0 * n / greatest(total, 1), 1)::DOUBLE AS share FROM ({_COVER}
+  UNION ALL SELECT 'no_topic', count(*) FILTER (len(topic) = 0 OR topic = ['Uncategorized']), count(*) FROM t UNION ALL SELECT 'folder_in_topic', count(*) FILTER (list_has_any(folder_tags, topic)), count(*) FROM t)""")
+def category_report(spark: SparkSession, d: str) -> DataFrame:
+    """How many records have each layer, no topic, or a folder tag that repeats a topic; in percent of all besides."""
+    return validate.category_report(tagging.tagged(wide_papers(spark, d)))
 
 
 _PAIRS = f"""SELECT tag_a, tag_b, count(*) AS n FROM (SELECT a.t AS tag_a, b.t AS tag_b FROM
@@ -513,15 +676,67 @@ def library_quality(spark: SparkSession, d: str) -> DataFrame:
     return v.groupBy(F.coalesce("library", F.lit("")).alias("library")).agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 3).alias("mean_confidence"))
 
 
+@query(f"SELECT layer, tag, count(*) AS n FROM (SELECT unnest(doubts) AS u FROM {S.doubtful()}) , LATERAL (SELECT split_part(u, ':', 1) AS layer, split_part(u, ':', 2) AS tag) GROUP BY ALL ORDER BY n DESC, layer, tag LIMIT 20")
+def suspicious_tags(spark: SparkSession, d: str) -> DataFrame:
+    """The tags that most often stand on records without one of their words."""
+    return validate.suspicious_tags(validate.validated(_layers(spark, d), AS_OF))
+
+
+@query(f"SELECT folder, count(*) AS n FROM (SELECT folder, unnest(types) AS t FROM {S.validated(AS_OF)}) WHERE t IN ('folder_topic_mismatch', 'folder_content_mismatch') GROUP BY folder ORDER BY n DESC, folder LIMIT 20")
+def folder_mismatches(spark: SparkSession, d: str) -> DataFrame:
+    return validate.folder_mismatches(validate.validated(_layers(spark, d), AS_OF))
+
+
+_LOUD = ("title_is_filename", "junk_title", "missing_abstract", "missing_pub_year", "implausible_pub_year", "implausible_pub_month", "invalid_arxiv_id", "suspicious_tag", "contradictory_tag", "folder_topic_mismatch")
+
+
+@query(f"""WITH c AS (SELECT lower(trim(title, ' ')) AS k FROM library_papers WHERE length(lower(trim(title, ' '))) > 10 GROUP BY 1 HAVING count(*) > 1 AND count(DISTINCT nullif(arxiv_id, '')) > 1)
+  SELECT paper_id, array_to_string(list_sort(list_distinct(list_concat(list_filter(types, lambda x: list_contains({S.lst(_LOUD)}, x)), CASE WHEN lower(trim(title, ' ')) IN (SELECT k FROM c) THEN ['duplicate_title_conflict'] ELSE []::VARCHAR[] END))), '|') AS flags
+  FROM {S.validated(AS_OF)} JOIN library_papers USING (paper_id)""")
+def validation_flags(spark: SparkSession, d: str) -> DataFrame:
+    """Each record's kinds of errors and warnings, the conflicts of its title included."""
+    v = validate.with_title_conflicts(validate.validated(_layers(spark, d), AS_OF))
+    return v.select("paper_id", F.array_join(validate.flags(), "|").alias("flags"))
+
+
+@query(f"SELECT paper_id, row_number() OVER (ORDER BY confidence, paper_id)::INT AS place FROM {S.validated(AS_OF)} WHERE confidence < 0.55 OR list_has_any(types, {S.lst(validate.NEEDS_LOOKUP)}) ORDER BY place LIMIT 100")
+def lookup_page(spark: SparkSession, d: str) -> DataFrame:
+    """The hundred least trusted records that need a lookup."""
+    v = validate.validated(_layers(spark, d), AS_OF).where(validate.needs_lookup())
+    return search.placed(v, [F.col("confidence"), F.col("paper_id")], 0, 100).select("paper_id", "place")
+
+
+_HITS = ", ".join(f"CASE WHEN NOT list_contains(mine, {S.q(t)}) AND len(list_intersect({S.lst(R.tag_words(x, t))}, otoks)) >= 2 THEN {S.q(t)} END" for x in R.LAYERS for t in R.TAXONOMY[x])
+
+
+@query(f"""WITH o AS (SELECT paper_id, arg_min(title, (coalesce(title, ''), scan_id)) AS otitle FROM scan_records WHERE paper_id IS NOT NULL GROUP BY paper_id),
+  l AS (SELECT paper_id, coalesce(nullif(title, ''), stem) AS own, list_concat(topic, method, task, modality) AS mine FROM {S.layers()}),
+  j AS (SELECT l.*, otitle, list_distinct({S.tokens('otitle')}) AS otoks, {S.title_tokens('own')} AS ta, {S.title_tokens('otitle')} AS tb FROM l LEFT JOIN o USING (paper_id)),
+  s AS (SELECT *, CASE WHEN len(ta) > 0 AND len(tb) > 0 THEN round(len(list_intersect(ta, tb)) / greatest(len(ta), len(tb)), 3) ELSE 0.0 END::DOUBLE AS sim, list_filter([{_HITS}], lambda x: x IS NOT NULL)[1:5] AS tips FROM j)
+  SELECT paper_id, CASE WHEN otitle IS NULL THEN 'not_found' WHEN sim < 0.7 THEN 'mismatch' ELSE 'verified' END AS status, CASE WHEN otitle IS NOT NULL THEN sim END AS similarity, CASE WHEN otitle IS NOT NULL THEN array_to_string(tips, '|') END AS suggestions FROM s""")
+def verified_papers(spark: SparkSession, d: str) -> DataFrame:
+    """Every record against the landed response of its paper: agreement of the titles, and tags that the response suggests."""
+    s = table(spark, d, "scan_records").where("paper_id is not null")
+    one = s.groupBy("paper_id").agg(F.min_by("title", F.struct(F.coalesce("title", F.lit("")), "scan_id")).alias("online_title"))
+    lay = _layers(spark, d).join(one, "paper_id", "left")
+    v = validate.against_response(lay.withColumn("mine", F.concat(*R.LAYERS)), F.col("online_title"), F.col("online_title"))
+    return v.select("paper_id", "status", "similarity", F.array_join("suggestions", "|").alias("suggestions"))
+
+
+@query("SELECT paper_id, row_number() OVER (ORDER BY paper_id) - 1 AS id, length(substr(abstract, 1, 400)) AS shown, folder FROM library_papers")
+def page_rows(spark: SparkSession, d: str) -> DataFrame:
+    """What a page gets: a dense number for each record, the shown part of its abstract."""
+    p = library.numbered(library.published(papers(spark, d), True), "paper_id")
+    return p.select("paper_id", "id", F.length("abstract").alias("shown"), "folder")
+
+
 # --- similarity and summaries ------------------------------------------------------------------------------------
 
-#: Longest posting list in the SQL beside the graph; the query itself keeps every term in up to 65 % of the rows.
-GRAPH_MAX_DF = 400
 _G = S.tokens("concat_ws(' ', coalesce(title, ''), coalesce(title, ''), coalesce(abstract, ''))", False)
 
 
 @query(f"""WITH n AS (SELECT count(*) AS n FROM library_papers), t AS MATERIALIZED (SELECT paper_id, folder, pub_year, list_concat(topic, method, task) AS tags, {_G} AS ts FROM {S.layers()}),
-  df AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(ts)) AS term FROM t) GROUP BY term HAVING count(*) >= 2 AND count(*) <= least(0.65, {GRAPH_MAX_DF} / (SELECT n FROM n)) * (SELECT n FROM n)),
+  df AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(ts)) AS term FROM t) GROUP BY term HAVING count(*) >= 2 AND count(*) <= 0.65 * (SELECT n FROM n)),
   raw AS MATERIALIZED (SELECT paper_id, term, (1 + ln(count(*))) * ln(((SELECT n FROM n) + 1.0) / (any_value(df) + 1.0)) AS raw FROM (SELECT paper_id, unnest(ts) AS term FROM t) JOIN df USING (term) GROUP BY ALL),
   w AS MATERIALIZED (SELECT paper_id, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY paper_id)) AS w FROM raw),
   c AS (SELECT a.paper_id AS src, b.paper_id AS dst, count(*) AS shared, sum(a.w * b.w) AS dot FROM w a JOIN w b USING (term) WHERE a.paper_id % 20 = 0 AND a.paper_id <> b.paper_id GROUP BY ALL),
@@ -558,10 +773,10 @@ def content_hashes(spark: SparkSession, d: str) -> DataFrame:
     return papers(spark, d).select("paper_id", C.content_hash("v1", "rules", F.col("title"), F.col("abstract"), F.col("intro_excerpt"), F.col("folder"), full).alias("h"))
 
 
-@query()
+@query("SELECT paper_id FROM library_papers ORDER BY md5(concat_ws(':', '42', paper_id::VARCHAR)), paper_id LIMIT 100")
 def seeded_sample(spark: SparkSession, d: str) -> DataFrame:
-    """A hundred records that any run picks alike."""
-    return papers(spark, d).select("paper_id").orderBy(F.xxhash64("paper_id", F.lit(42)), "paper_id").limit(100)
+    """A hundred records that any run and any engine picks alike."""
+    return papers(spark, d).select("paper_id").orderBy(F.md5(F.concat_ws(":", F.lit("42"), F.col("paper_id").cast("string"))), "paper_id").limit(100)
 
 
 def queries() -> dict[str, Query]:

@@ -64,6 +64,12 @@ def _clean() -> None:
             pass
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores if its scan has fewer partitions than there are cores; a table of many files stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
+
+
 class Stored:
     """A table in the shared folder: ``df`` reads it, ``drop()`` deletes its files."""
 

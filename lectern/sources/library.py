@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import clean as C
+from ..runtime import stored
 
 EXCLUDED = "/_excluded/"
 
@@ -117,6 +118,28 @@ def write_version(df: DataFrame, root: str, version: str) -> str:
     return out
 
 
+def numbered(df: DataFrame, *order: str, name: str = "id") -> DataFrame:
+    """``df`` with a dense number by ``order``, from 0. Ranges are sorted apart; only their sizes meet on the driver."""
+    parts = stored(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_p": F.spark_partition_id(), "_m": F.monotonically_increasing_id()}), "numbered")
+    sizes = {r._p: (r.n, r.lo) for r in parts.groupBy("_p").agg(F.count("*").alias("n"), F.min("_m").alias("lo")).collect()}
+    starts, at = [], 0
+    for p in sorted(sizes):
+        starts.append((p, at - sizes[p][1]))
+        at += sizes[p][0]
+    shift = df.sparkSession.createDataFrame(starts, "_p int, _s long")
+    return parts.join(F.broadcast(shift), "_p").withColumn(name, F.col("_m") + F.col("_s")).drop("_p", "_m", "_s")
+
+
+def write_unparsed(rows: DataFrame, path: str) -> None:
+    """What isn't shown, as JSON lines, newest version only."""
+    rows.write.mode("overwrite").json(path)
+
+
+def manifest(excluded: DataFrame, path: str) -> None:
+    """What was excluded and why, as JSON lines; no file is moved."""
+    excluded.where("exclude_reason is not null").select("library", "rel_path", "file_path", "title", F.col("exclude_reason").alias("reason"), "size_bytes").write.mode("overwrite").json(path)
+
+
 def published(papers: DataFrame, public: bool) -> DataFrame:
     """What a page gets: the shown part of the abstract; the times only for the owner."""
     p = papers.withColumn("abstract", F.substring("abstract", 1, 400))

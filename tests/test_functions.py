@@ -2,7 +2,6 @@ from pyspark.sql import functions as F
 
 from lectern.functions import clean as C
 from lectern.functions import rules as R
-from lectern.functions.ids import id_version, well_formed_id
 from lectern.functions.text import fold, letters_and_digits
 from lectern.operators import clean, people, summary, validate
 
@@ -23,12 +22,6 @@ def test_preprint_ids(spark):
     assert out(df, C.preprint_year(F.col("x"), 2026))[:5] == [2024, None, None, 2007, 1999]
 
 
-def test_well_formed_id(spark):
-    df = col(spark, ["arXiv: 2403.01234v3", "ABS/2403.01234", "2117.27792", "1605.00000", None, "　2403.01234 ", "arXiv:abs/2403.01234"])
-    assert out(df, well_formed_id(F.col("x"))) == ["2403.01234", "2403.01234", None, None, None, "2403.01234", None]
-    assert out(df, id_version(F.col("x")))[:2] == [3, 0]
-
-
 def test_folding_agrees_with_python(spark):
     texts = ["Ｆｕｌｌ Ｗｉｄｔｈ", "straße", "plain Text-1", "ﬁne", None, "", "日本 2024", "é"]
     want = [None if t is None else "".join(c for c in fold(t) if c.isalnum()) for t in texts]
