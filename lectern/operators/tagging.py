@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import clean as C
 from ..functions import rules as R
@@ -61,10 +65,27 @@ def vocabulary(docs: DataFrame, toks: str, n: int, min_df: int = MIN_DF, max_sha
     return document_frequency(docs, toks).where((F.col("df") >= min_df) & (F.col("df") <= max_share * n)).withColumn("idf", F.log((n + 1.0) / (F.col("df") + 1.0)))
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each row's distinct term, with its count and first place."""
+    for b in batches:
+        rows, terms, tf, pos = [], [], [], []
+        for i, t in enumerate(b.column(1).to_pylist()):
+            n = Counter(t or ())
+            first: dict[str, int] = {}
+            for at, x in enumerate(t or ()):
+                first.setdefault(x, at)
+            rows += [i] * len(n)
+            terms += n.keys()
+            tf += n.values()
+            pos += first.values()
+        keys = b.column(0).take(pa.array(rows, pa.int64()))
+        yield pa.RecordBatch.from_arrays([keys, pa.array(terms, pa.string()), pa.array(tf, pa.int64()), pa.array(pos, pa.int32())], names=[b.schema.names[0], "term", "tf", "pos"])
+
+
 def _frequencies(docs: DataFrame, key: str, toks: str) -> DataFrame:
-    """``(key, term, tf, pos)``: counted in the row, so that nothing is moved for it; rows of one key are one."""
-    each = F.transform(F.array_distinct(toks), lambda t: F.struct(t.alias("term"), F.size(F.filter(toks, lambda x: x == t)).alias("tf"), F.array_position(toks, t).alias("pos")))
-    return docs.select(key, F.inline(each))
+    """``(key, term, tf, pos)``: counted in the row, so that nothing is moved for it. Keys are unique."""
+    d = docs.select(key, toks)
+    return d.mapInArrow(_counted, T.StructType([d.schema[key], *T._parse_datatype_string("term string, tf long, pos int").fields]))
 
 
 def keywords(docs: DataFrame, key: str, toks: str, vocab: DataFrame, most: int = MAX_KEYWORDS, least: float = MIN_SCORE) -> DataFrame:

@@ -590,8 +590,10 @@ def event_hours(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _searchable(spark: SparkSession, d: str) -> DataFrame:
+    """The papers with their tags, written once: a search looks at each tag many times. No table of summaries is given,
+    so the beginning of the introduction stands for a paper's summary."""
     p = _layers(spark, d).withColumn("tags", F.array_distinct(F.concat("topic", "method", "task")))
-    return p.withColumn("summary", F.substring("intro_excerpt", 1, 120))
+    return stored(p.select("paper_id", "library", "folder", "title", "authors", "abstract", "pub_year", F.substring("intro_excerpt", 1, 120).alias("summary"), "tags"), "searchable")
 
 
 _FIELDS = """lower(coalesce(title, '')) AS f1, lower(array_to_string(coalesce(authors, []), ', ')) AS f2, lower(coalesce(substr(abstract, 1, 400), '')) AS f3, lower(coalesce(substr(intro_excerpt, 1, 120), '')) AS f4"""
