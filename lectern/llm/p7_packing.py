@@ -21,10 +21,10 @@ from pyspark.sql import functions as F
 
 from ..runtime import stored
 
-#: Items in a shard, on average; containers of a shard that are opened again; containers in a row that may resist.
-SHARD_ITEMS, OPENED, STALL = 8192, 8, 40
-#: Exchanges tried to empty one container.
-STEPS = 24
+#: Items in a shard, on average; containers of a shard that are opened again, as far as they hold half of its items.
+SHARD_ITEMS, OPENED = 8192, 8
+#: The search ends when so many containers in a row have resisted; so many exchanges are tried to empty one of them.
+STALL, STEPS = 40, 24
 TOKENIZER = os.environ.get("LECTERN_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 # Fixed value: the pattern that splits text before this vocabulary's merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -133,18 +133,21 @@ def _step(x: int, u: int, sizes: np.ndarray, box: np.ndarray, fill: np.ndarray,
         c = int(box[y])
         put(y, u), put(x, c)
         return True
-    # two for one: each item together with the smallest other of its container
+    # two for one: to each item of a container the smallest other that makes enough room with it
     order = np.lexsort((sizes, box))
-    head = np.concatenate([[True], box[order][1:] != box[order][:-1]])
-    first = np.empty(int(box.max()) + 1, np.int64)
-    first[box[order][head]] = order[head]
-    mate = first[box]
-    both = sizes + sizes[mate]
-    ok = np.flatnonzero((mate != np.arange(len(sizes))) & (both < s) & (both >= s - slack) & (box != u))
+    by, at = sizes[order], box[order]
+    big = int(sizes.max()) + 2
+    rank = at * big + by
+    need = np.clip(s - slack[order] - by, 0, big - 1)
+    z = np.searchsorted(rank, at * big + need)
+    z += z == np.arange(len(z))  # not the item itself
+    z = np.minimum(z, len(z) - 1)
+    both = by + by[z]
+    ok = np.flatnonzero((at[z] == at) & (z != np.arange(len(z))) & (by[z] >= need) & (both < s) & (at != u))
     if len(ok):
-        y = int(ok[np.argmin(both[ok])])
-        z, c = int(mate[y]), int(box[y])
-        put(y, u), put(z, u), put(x, c)
+        i = int(ok[np.argmin(both[ok])])
+        y, w, c = int(order[i]), int(order[z[i]]), int(at[i])
+        put(y, u), put(w, u), put(x, c)
         return True
     return False
 
@@ -158,7 +161,8 @@ def _packer(level: int, last: bool):
         fill = np.bincount(box, weights=sizes).astype(np.int64)
         again = np.zeros(len(names), bool)
         if not last:
-            again[np.argsort(fill, kind="stable")[:OPENED]] = True
+            first = np.argsort(fill, kind="stable")[:OPENED]
+            again[first[np.cumsum(np.bincount(box)[first]) * 2 <= len(sizes)]] = True
             again &= fill < capacity
         pdf["container_id"] = [f"{level}-{key[2]}-{c}" for c in box]
         pdf["fill"], pdf["again"] = fill[box], again[box]
@@ -178,14 +182,10 @@ def pack(sizes: DataFrame, budgets: DataFrame) -> DataFrame:
     shard has a bounded number of items, since they are dealt by a hash of the document and its part.
     """
     wanted = budgets.where("budget_id is not null and n_capacity > 0").select("budget_id", "n_capacity").distinct()
-    rows = [(int(r.budget_id), int(r.n_capacity)) for r in wanted.orderBy("budget_id", "n_capacity").limit(1001).collect()]
-    if len(rows) > 1000:
-        raise ValueError("more than 1000 budgets")
     spark = sizes.sparkSession
-    if not rows:
-        return spark.createDataFrame([], "budget_id int, n_capacity int, container_id string, doc_id long, first_token long, n_tokens long, fill long")
-    each = F.array(*[F.struct(F.lit(b).alias("budget_id"), F.lit(c).alias("n_capacity")) for b, c in rows])
-    all_ = sizes.select("doc_id", F.col("n").alias("size"), F.inline(each))
+    # every item is packed once for each budget: the budgets are a row's worth of data
+    each = wanted.agg(F.array_sort(F.collect_list(F.struct(F.col("budget_id").cast("int"), F.col("n_capacity").cast("int")))).alias("b"))
+    all_ = sizes.select("doc_id", F.col("n").alias("size"), F.inline(each.scalar()).alias("budget_id", "n_capacity"))
     whole = F.when(F.col("size") > F.col("n_capacity"), F.floor(F.col("size") / F.col("n_capacity"))).otherwise(F.lit(0)).cast("long")
     full = all_.where("size > n_capacity").select(
         "budget_id", "n_capacity", "doc_id", F.explode(F.sequence(F.lit(0).cast("long"), whole - 1)).alias("part")
@@ -205,12 +205,9 @@ def pack(sizes: DataFrame, budgets: DataFrame) -> DataFrame:
         if shards == 1:
             break
         items = packed.where("again").select("budget_id", "n_capacity", "doc_id", "first", "n")
-        rest = items.groupBy("budget_id", "n_capacity").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
-        # a level that hardly shrinks is the last: its shards keep what they have
-        if rest > 0.7 * total:
-            out = out.unionByName(packed.where("again").drop("again"))
-            break
-        total, level = rest, level + 1
+        # at most half of a shard's items are packed again, so there is a last level, of one shard
+        total = items.groupBy("budget_id", "n_capacity").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
+        level += 1
     return out.withColumnsRenamed({"first": "first_token", "n": "n_tokens"})
 
 

@@ -1,7 +1,8 @@
 """Problem 8: documents that carry held-out test passages.
 
 Each task indexes its documents (an FM-index for each shard of them), searches the index backwards for every phrase of
-every test passage, locates the hits and joins them into stretches. No row is shuffled.
+every test passage, locates the hits and joins them into stretches. No row is shuffled. A shard is read and indexed once,
+over the words of all passages; the passages are searched in passes of bounded size.
 """
 
 from __future__ import annotations
@@ -13,7 +14,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .fm_index import FMIndex
@@ -47,39 +49,32 @@ def tokens(text: str) -> list[str]:
     return _TOKEN.findall(text.casefold())
 
 
-class Phrases:
-    """The phrases of the test passages, each with the places where it stands."""
+Item = tuple[int, list[str]]
 
-    def __init__(self, items: list[tuple[int, str]]):
-        self.vocab: dict[str, int] = {}
-        self.size: dict[int, int] = {}
-        self.kind: dict[int, tuple[int, int, int]] = {}
-        places: dict[tuple[int, ...], list[tuple[int, int]]] = {}
-        for item, passage in items:
-            t = tokens(passage or "")
-            if not t:
-                continue
-            kind = CHARS if 2 * sum(bool(re.match(f"[{_HAN}]", x)) for x in t) >= len(t) else WORDS
-            k = min(kind[0], len(t))
-            ids = [self.vocab.setdefault(x, len(self.vocab) + 1) for x in t]
-            self.size[item], self.kind[item] = len(t), (k, kind[1], min(kind[2], len(t)))
-            for i in range(len(t) - k + 1):
-                places.setdefault(tuple(ids[i : i + k]), []).append((item, i))
-        self.places = list(places.values())
-        self.lengths = np.array([len(p) for p in places], np.int64)
-        self.depth = int(self.lengths.max(initial=1))
-        self.shortest = int(self.lengths.min(initial=1))
-        self.rows = np.zeros((len(places), self.depth), np.int64)
-        for r, p in enumerate(places):
-            self.rows[r, : len(p)] = p
+
+def phrase_shape(t: list[str]) -> tuple[int, int, int]:
+    """Phrase length, longest gap and shortest stretch of a passage."""
+    kind = CHARS if 2 * sum(bool(re.match(f"[{_HAN}]", x)) for x in t) >= len(t) else WORDS
+    return min(kind[0], len(t)), kind[1], min(kind[2], len(t))
+
+
+class Vocabulary(dict):
+    """The numbers of the passages' words, from 1, and the length of the shortest phrase."""
+
+    shortest = 1 << 30
+
+    def add(self, t: list[str]) -> None:
+        self.shortest = min(self.shortest, phrase_shape(t)[0])
+        for x in t:
+            self.setdefault(x, len(self) + 1)
 
     def symbols(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """The text in the phrases' symbols, and the place of each in the text.
+        """The text in the words' numbers, and the place of each in the text.
 
-        A word of no phrase is a separator, and so is a run of words too short for any phrase; of neighbouring
+        A word of no passage is a separator, and so is a run of words too short for any phrase; of neighbouring
         separators one is kept. No hit can contain one, so none is lost.
         """
-        get = self.vocab.get
+        get = self.get
         ids = np.array([get(x, 0) for x in tokens(text)], np.int64)
         edge = np.flatnonzero(np.diff(np.concatenate([[0], (ids > 0).astype(np.int8), [0]])))
         start, end = edge[::2], edge[1::2]
@@ -93,6 +88,26 @@ class Phrases:
         return out, at
 
 
+class Phrases:
+    """The phrases of some test passages, each with the places where it stands."""
+
+    def __init__(self, items: list[Item], vocab: Vocabulary):
+        self.size: dict[int, int] = {}
+        self.kind: dict[int, tuple[int, int, int]] = {}
+        places: dict[tuple[int, ...], list[tuple[int, int]]] = {}
+        for item, t in items:
+            k, gap, least = phrase_shape(t)
+            ids = [vocab[x] for x in t]
+            self.size[item], self.kind[item] = len(t), (k, gap, least)
+            for i in range(len(t) - k + 1):
+                places.setdefault(tuple(ids[i : i + k]), []).append((item, i))
+        self.places = list(places.values())
+        self.lengths = np.array([len(p) for p in places], np.int64)
+        self.rows = np.zeros((len(places), int(self.lengths.max(initial=1))), np.int64)
+        for r, p in enumerate(places):
+            self.rows[r, : len(p)] = p
+
+
 def stretches(hits: list[tuple[int, int]], k: int, gap: int, least: int) -> list[tuple[int, int, int, int]]:
     """Hits (place in the document, place in the passage) joined along both: (from, to, passage from, passage to)."""
     hits = sorted(hits)
@@ -118,12 +133,8 @@ def stretches(hits: list[tuple[int, int]], k: int, gap: int, least: int) -> list
     return [(a, b + k, c, d + k) for a, b, c, d in runs if d + k - c >= least]
 
 
-def _scan(ph: Phrases, ids: list[int], texts: list[np.ndarray], at: list[np.ndarray]) -> Iterator[tuple]:
+def _scan(fm: FMIndex, ph: Phrases, ids: list[int], doc: np.ndarray, place: np.ndarray) -> Iterator[tuple]:
     """Stretches of one shard, with the share of the passage that the document's stretches cover together."""
-    text = np.concatenate(texts)
-    doc = np.repeat(np.arange(len(ids)), [len(x) for x in texts])
-    place = np.concatenate(at)
-    fm = FMIndex(text, len(ph.vocab) + 1)
     lo, hi = fm.search(ph.rows, ph.lengths)
     n = hi - lo
     found = np.repeat(np.arange(len(n)), n)
@@ -145,18 +156,25 @@ def _scan(ph: Phrases, ids: list[int], texts: list[np.ndarray], at: list[np.ndar
 _OUT = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), *((c, pa.int64()) for c in ("start", "end", "item_start", "item_end")), ("share", pa.float64())])
 
 
-def _task(items: list[tuple[int, str]]):
+def _task(vocab: Broadcast, passes: list[Broadcast]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ph = Phrases(items)
+        voc = vocab.value
+        one = Phrases(passes[0].value, voc) if len(passes) == 1 else None
         ids, texts, at, n = [], [], [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            rows = list(_scan(ph, ids, texts, at)) if ids else []
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _OUT)] if rows else [pa.array([], f.type) for f in _OUT], schema=_OUT)
+            if not ids:
+                return
+            fm = FMIndex(np.concatenate(texts), len(voc) + 1)
+            doc, place = np.repeat(np.arange(len(ids)), [len(x) for x in texts]), np.concatenate(at)
+            for items in passes:
+                rows = list(_scan(fm, one or Phrases(items.value, voc), ids, doc, place))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _OUT)], schema=_OUT)
 
         for b in batches:
             for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                s, p = ph.symbols(text)
+                s, p = voc.symbols(text)
                 if len(s):
                     ids.append(i), texts.append(s), at.append(p)
                     n += len(s)
@@ -172,19 +190,39 @@ def leaked_spans(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
     """``(doc_id, item_id, start, end, item_start, item_end, share)``: every stretch of a test passage in a document.
 
     ``start`` and ``end`` count the document's words, ``item_start`` and ``item_end`` the passage's; ``share`` is the
-    share of the passage that the document's stretches cover together. The items are searched in passes of ITEMS, each
-    over all documents, so the phrases a task holds are bounded. A passage shorter than a phrase is one phrase. Null
-    and empty texts and passages have no hits; rows with a null id are left out; repeated items are searched once.
+    share of the passage that the document's stretches cover together. The documents are read once. The items go to the
+    tasks in passes of ITEMS, each a broadcast of its own, so the phrases a task holds are bounded; the words of all
+    items are held beside them. A passage shorter than a phrase is one phrase. Null and empty texts and passages have no
+    hits; rows with a null id are left out; repeated items are searched once.
     """
     q = items.where(F.col(item_id).isNotNull() & F.col(passage).isNotNull()).select(F.col(item_id).cast("long").alias("i"), F.col(passage).alias("p")).distinct()
     d = docs.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).cast("long"), F.col(text))
-    passes = max(1, -(-q.count() // ITEMS))
-    out = None
-    for k in range(passes):
-        part = [(r.i, r.p) for r in q.where(F.pmod(F.xxhash64("i"), F.lit(passes)) == k).collect()]
-        got = d.mapInArrow(_task(part), "doc_id long, item_id long, start long, end long, item_start long, item_end long, share double")
-        out = got if out is None else out.unionByName(got)
-    return out
+    sc = docs.sparkSession.sparkContext
+    vocab, passes = Vocabulary(), []
+    n = -(-q.count() // ITEMS)
+    for k in range(n):
+        part = [(r.i, tokens(r.p)) for r in q.where(F.pmod(F.xxhash64("i"), F.lit(n)) == k).collect()]
+        part = [x for x in part if x[1]]
+        for _, t in part:
+            vocab.add(t)
+        if part:
+            passes.append(sc.broadcast(part))
+    if not passes:
+        return docs.sparkSession.createDataFrame([], _SPANS)
+    return d.mapInArrow(_task(sc.broadcast(vocab), passes), _SPANS)
+
+
+_SPANS = "doc_id long, item_id long, start long, end long, item_start long, item_end long, share double"
+
+
+def removals(spans: DataFrame, least: float = LEAKED) -> DataFrame:
+    """``(doc_id, start, end, n_items)``: what has to be cut out. Stretches of leaked passages that overlap or touch are
+    one; ``n_items`` is the number of items in it."""
+    w = Window.partitionBy("doc_id").orderBy("start", "end", "item_id")
+    before = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    new = (before.isNull() | (F.col("start") > before)).cast("int")
+    s = spans.where(F.col("share") >= least).withColumn("_new", new).withColumn("_part", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return s.groupBy("doc_id", "_part").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count_distinct("item_id").alias("n_items")).drop("_part")
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -194,6 +232,11 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stretches of all leaked passages, which is what has to be cut out."""
+    """The stretches of all leaked passages."""
     spans = leaked_spans(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/eval_items.parquet"))
     return spans.where(F.col("share") >= LEAKED)
+
+
+def p8_removals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """See :func:`removals`."""
+    return removals(leaked_spans(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/eval_items.parquet")))

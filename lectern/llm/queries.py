@@ -25,6 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p7_fill": p7_packing.p7_fill,
         "p8_found": p8_leaks.p8_found,
         "p8_spans": p8_leaks.p8_spans,
+        "p8_removals": p8_leaks.p8_removals,
         "p9_found": p9_reading.p9_found,
         "p9_levels": p9_reading.p9_levels,
     }

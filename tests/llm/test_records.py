@@ -17,6 +17,7 @@ from lectern.llm import p2_spellings as p2
 from lectern.llm import p4_terms as p4
 from lectern.llm import p5_near_copies as p5
 from lectern.llm import p6_groups as p6
+from lectern.llm.ids import id_version, well_formed_id
 from lectern.operators import skew
 
 SF = "/root/testdata/sf0.001"
@@ -255,3 +256,9 @@ def test_partners_in_a_large_family(spark, monkeypatch):
     df = spark.createDataFrame(family(2000, 103), "paper_id long, title string, abstract string")
     got = {tuple(r) for r in p5.near_copy_groups(df).collect()}
     assert got <= {(2 * i, 2 * i + 1) for i in range(1000)} and len(got) >= 985
+
+
+def test_well_formed_id(spark):
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(["arXiv: 2403.01234v3", "ABS/2403.01234", "2117.27792", "1605.00000", None, "　2403.01234 ", "arXiv:abs/2403.01234"])], "i int, x string")
+    assert [r[0] for r in df.orderBy("i").select(well_formed_id(F.col("x"))).collect()] == ["2403.01234", "2403.01234", None, None, None, "2403.01234", None]
+    assert [r[0] for r in df.orderBy("i").select(id_version(F.col("x"))).collect()][:2] == [3, 0]

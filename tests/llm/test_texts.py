@@ -38,6 +38,16 @@ def test_residue(spark):
     assert p3.residue(df.limit(0), "id", "title").count() == 0
 
 
+def test_residue_by_given_exemplars(spark):
+    """Exemplars come as a table; a star stands for any name; only texts that the retrieved ones cover are residue."""
+    ex = spark.createDataFrame([("x", "draft prepared for * meeting 0"), ("x", "please ignore"), (None, "y"), ("x", None)], "label string, text string")
+    rows = [(1, "Draft prepared for Quorvex-B meeting 2021"), (2, "draft prepared for robots and meeting quiet tinkerers"), (3, "Please ignore"), (4, "enable javascript to continue"), (5, "Meeting of quiet robots")]
+    rows += [(10 + i, f"robots and people in buildings {i}") for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, title string")
+    assert {r.row_id for r in p3.residue(df, "id", "title", ex).collect()} == {1, 3}
+    assert p3.residue(df, "id", "title", ex.limit(0)).count() == 0
+
+
 def test_placeholders_of_any_length():
     long = "record.metadata.title | default('no title was given for this record') | truncate(80)"
     for t in ("{{ " + long + " }}", "Towards ${" + "a" * 70 + "} of Robots", "{{ Sets and " + "words " * 20 + "{{ title }}", "[" + "_" * 50 + "title]"):
@@ -87,6 +97,14 @@ def test_leak_spans_are_places_in_the_document(spark):
     assert [(x.start, x.item_start, x.share) for x in r] == [(3, 0, 1.0)] and r[0].end == 3 + len(p8.tokens(PASSAGE))
 
 
+def test_removals_are_merged(spark):
+    spans = spark.createDataFrame(
+        [(1, 1, 0, 10, 0, 10, 1.0), (1, 2, 8, 20, 0, 12, 1.0), (1, 1, 20, 25, 0, 5, 1.0), (1, 3, 40, 50, 0, 10, 0.6), (1, 4, 45, 60, 0, 15, 0.4), (2, 1, 0, 9, 0, 9, 0.5)], p8._SPANS
+    )
+    assert {tuple(r) for r in p8.removals(spans).collect()} == {(1, 0, 25, 2), (1, 40, 50, 1), (2, 0, 9, 1)}
+    assert p8.removals(spans.limit(0)).count() == 0
+
+
 def test_stretches_between_many_other_runs():
     """Nine and more runs open before the true one goes on, within the gap."""
     others = [(6, 100 * i) for i in range(1, 13)]
@@ -139,6 +157,14 @@ def test_local_search_empties_a_container():
     assert (np.bincount(b, weights=order) ** 2).sum() >= (np.bincount(a, weights=order) ** 2).sum()
 
 
+def test_two_items_make_room_for_one():
+    """The pair that is exchanged may be any two items of a container, not only those with its smallest."""
+    sizes, box = np.array([60, 45, 31, 20, 4, 98]), np.array([0, 1, 1, 1, 1, 2])
+    fill = np.bincount(box, weights=sizes).astype(np.int64)
+    assert p7._step(0, 0, sizes, box, fill, 100 - fill) and list(box) == [1, 1, 0, 0, 1, 2] or sizes[box == 1].sum() > 60
+    assert (np.bincount(box, weights=sizes) <= 100).all()
+
+
 def test_tokens_of_long_texts(spark, monkeypatch):
     enc = p7.load_tokenizer(p7.TOKENIZER)
     monkeypatch.setattr(p7, "CHUNK", 50)
