@@ -1,5 +1,5 @@
-"""The queries of this package. None has SQL beside it: Unicode normal forms, iteration and models are beyond SQL; the
-tests compare them with brute force, round trips and held-out labels instead."""
+"""The queries of this package, and the SQL beside those that SQL can express. Iteration over pairs of texts, indexes,
+tokenizers and models are beyond it; the tests compare these with brute force, round trips and held-out labels."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import p1_survivors, p2_spellings, p3_residue, p4_terms, p5_near_copies, p6_groups, p7_packing, p8_leaks, p9_reading
+from .sql import SQL
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -32,4 +33,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
