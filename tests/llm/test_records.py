@@ -112,7 +112,7 @@ def test_survivors(spark):
     assert set(got) == want and len(got) == len(want)
 
 
-def test_fusion_discounts_copies(spark, make_papers):
+def test_fusion_discounts_copies(spark, make_papers, monkeypatch):
     """A source and its two copiers are outvoted by two others once their shared false values have given them away."""
     out, n = [], 0
     for g in range(60):
@@ -128,6 +128,12 @@ def test_fusion_discounts_copies(spark, make_papers):
     years = {r["paper_id"]: r["pub_year"] for r in out}
     won = [years[r.paper_id] for r in p1.fuse(papers, src).where("field_name = 'pub_year'").collect()]
     assert won == [2000] * 60
+    # the same model in tables
+    want = {tuple(r) for r in p1.fuse(papers, src).collect()}
+    monkeypatch.setattr(p1, "INLINE", 0)
+    assert isinstance(p1.estimate(p1.claims(papers, src), False), p1.Tables)
+    assert {tuple(r) for r in p1.fuse(papers, src).collect()} == want
+    monkeypatch.undo()
     assert p1.dependence(50, 0, 50, 0.8, 0.8) < 0.1 < 0.9 < p1.dependence(50, 20, 0, 0.8, 0.8)
     none = make_papers([{"paper_id": 1}, {"paper_id": 2, "title": "x"}])
     assert p1.fuse(none, src).count() == 0 and p1.fuse(make_papers([]), src, prefer=True).count() == 0
