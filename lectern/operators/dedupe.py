@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import clean as C
 from ..runtime import Stored
 from .clean import with_junk
-from .skew import lookup
+from .skew import HOT_ROWS, lookup
 
 THRESHOLD = 0.92
 MIN_TITLE = 10
@@ -56,7 +56,10 @@ def similar_edges(keys: DataFrame) -> DataFrame:
     same = _equal_set_edges(k)
     long = reps.where(F.col("m") / (F.col("m") + 1) > THRESHOLD)  # shorter sets are similar to none but their equals
     df = long.select(F.explode("toks").alias("t")).groupBy("t").agg(F.count("*").alias("df"))
-    ranked = long.select("paper_id", "wid", "toks", "m", F.explode("toks").alias("t")).join(df, "t")
+    df = Stored(df, "title_tokens").df
+    total, hottest = df.agg(F.coalesce(F.sum("df"), F.lit(0)), F.coalesce(F.max("df"), F.lit(0))).first()
+    dim = df.withColumn("n", F.col("df"))
+    ranked = lookup(long.select("paper_id", "wid", "toks", "m", F.explode("toks").alias("t")), dim, "t", "n", total, hottest)
     w = Window.partitionBy("paper_id").orderBy("df", "t")
     prefix = ranked.withColumn("r", F.row_number().over(w)).where(F.col("r") <= mismatches(F.col("m")) + 1)
     x = prefix.select("t", F.col("paper_id").alias("a"), F.col("wid").alias("wa"), F.col("toks").alias("ta"))
@@ -79,15 +82,26 @@ def label_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``(paper_id, component)`` for every node: the least id it is linked to, directly or through others.
 
     Labels spread along the edges and then jump to their label's label, until none changes; every state is a table in
-    the shared folder.
+    the shared folder. The least label moves on in each round, so the rounds end. Nodes of many edges and labels of many
+    nodes are looked up as hot keys.
     """
     both = Stored(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "label_edges")
     now = Stored(nodes.select("paper_id", F.col("paper_id").alias("component")), "labels")
+    n_nodes, n_edges = now.df.count(), both.df.count()
+    ends = Stored(both.df.groupBy("b").agg(F.count("*").alias("n")), "label_ends").df
+    busiest = ends.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
     while True:
-        seen = both.df.join(now.df.select(F.col("paper_id").alias("b"), "component"), "b").groupBy("a").agg(F.min("component").alias("seen"))
+        of = now.df.select(F.col("paper_id").alias("b"), "component").join(ends, "b")
+        seen = lookup(both.df, of, "b", "n", n_edges, busiest).groupBy("a").agg(F.min("component").alias("seen"))
         step = now.df.join(seen, F.col("paper_id") == F.col("a"), "left").select("paper_id", F.least("component", F.coalesce("seen", "component")).alias("c1"), "component")
         jump = now.df.select(F.col("paper_id").alias("c1"), F.col("component").alias("c2"))
-        moved = Stored(step.join(jump, "c1", "left").select("paper_id", F.least("c1", "c2").alias("component"), F.col("component").alias("before")), "labels")
+        # no label can be hot among few nodes
+        if n_nodes <= HOT_ROWS:
+            far = step.join(jump, "c1", "left")
+        else:
+            jump = jump.join(step.groupBy("c1").agg(F.count("*").alias("n")), "c1")
+            far = lookup(step, jump, "c1", "n", n_nodes, n_nodes, "left")
+        moved = Stored(far.select("paper_id", F.least("c1", "c2").alias("component"), F.col("component").alias("before")), "labels")
         changed = moved.df.where("component <> before").limit(1).count()
         now.drop()
         now = moved

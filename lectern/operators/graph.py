@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..runtime import stored
+from .skew import lookup
 
 CANDIDATES, NEIGHBOURS = 300, 15
 MIN_DF, MAX_SHARE = 2, 0.65
@@ -167,8 +168,10 @@ def neighbours(docs: DataFrame, key: str, toks: str, n: int, queries: Column | N
         rows = rows.groupBy("k").agg(F.flatten(F.collect_list(F.coalesce("t", F.array().cast("array<string>")))).alias("t"))
     bags = stored(rows.mapInArrow(_bags, "k long, terms array<string>, tf array<int>"), "graph_bags")
     df = bags.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df")).where((F.col("df") >= MIN_DF) & (F.col("df") <= share * n))
-    idf = stored(df.select("term", F.log((n + 1.0) / (F.col("df") + 1.0)).alias("idf")), "graph_terms")
-    weights = lambda b: b.select("k", F.inline(F.arrays_zip("terms", "tf"))).withColumnRenamed("terms", "term").join(idf, "term").withColumn("raw", (1 + F.log(F.col("tf").cast("double"))) * F.col("idf"))
+    idf = stored(df.select("term", "df", F.log((n + 1.0) / (F.col("df") + 1.0)).alias("idf")), "graph_terms")
+    total, hottest = idf.agg(F.coalesce(F.sum("df"), F.lit(0)), F.coalesce(F.max("df"), F.lit(0))).first()
+    long = lambda b: b.select("k", F.inline(F.arrays_zip("terms", "tf"))).withColumnRenamed("terms", "term")
+    weights = lambda b: lookup(long(b), idf, "term", "df", total, hottest).withColumn("raw", (1 + F.log(F.col("tf").cast("double"))) * F.col("idf"))
     norms = stored(weights(bags).groupBy("k").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm")).where("norm > 0"), "graph_norms")
     asked = (kept.where(queries) if queries is not None else kept).select(F.col(key).cast("long").alias("k")).distinct()
     passes = max(1, -(-asked.count() // QUERIES))

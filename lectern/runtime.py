@@ -55,6 +55,18 @@ def _delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """The names of a folder's entries; none if it doesn't exist."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(x.getPath().getName() for x in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    _delete(spark, path)
+
+
 @atexit.register
 def _clean() -> None:
     for spark, path in _FOLDERS.values():

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from lectern.functions import clean as C
-from lectern.operators import dedupe, enrich, graph, incremental, search, skew, stats, tagging
-from lectern.runtime import Stored
+from lectern.operators import dedupe, enrich, graph, incremental, people, search, skew, stats, tagging, validate
+from lectern.plans import catalog
+from lectern.runtime import Stored, delete
 from lectern.sources import library
 from lectern.streaming import refresh
 
@@ -184,6 +185,79 @@ def test_stream_keeps_the_newest(spark, tmp_path):
     assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "t/v=0")).select("k", "v").collect()} == {(1, "b"), (2, "c")}
 
 
+def test_stream_goes_on_from_an_old_table(spark, tmp_path):
+    schema, t = "k int, o int, v string", str(tmp_path / "t")
+
+    def run(rows, name):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        refresh.merged(spark, spark.readStream.schema(schema).parquet(str(tmp_path / "in")), t, "k", "o", str(tmp_path / name)).awaitTermination()
+
+    newest = lambda v: {tuple(r) for r in spark.read.parquet(f"{t}/v={v}").select("k", "v").collect()}
+    run([(1, 1, "a"), (2, 1, "b")], "ck1")
+    run([(2, 2, "c")], "ck1")
+    assert newest(1) == {(1, "a"), (2, "c")}
+    spark.createDataFrame([(9, 1, "old")], schema).write.parquet(f"{t}/v=2")
+    run([(3, 1, "d")], "ck2")  # a fresh checkpoint over the old table
+    assert newest(3) == {(9, "old"), (1, "a"), (2, "c"), (3, "d")}
+    delete(spark, f"{t}/v=3")
+    with pytest.raises(Exception, match="is missing"):
+        run([(4, 1, "e")], "ck2")
+
+
+@pytest.mark.parametrize("hot", [0, 10**6])
+def test_labels_of_a_hot_component(spark, monkeypatch, hot):
+    """A third of all nodes on one centre, and a chain; every key hot, and none."""
+    monkeypatch.setattr(skew, "HOT_ROWS", hot)
+    monkeypatch.setattr(dedupe, "HOT_ROWS", hot)
+    edges = [(1000, i) for i in range(500, 540)] + [(i, i + 1) for i in range(20)]
+    nodes = spark.createDataFrame([(i,) for i in {x for e in edges for x in e} | {7777}], "paper_id long")
+    got = {r.paper_id: r.component for r in dedupe.label_components(nodes, spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{i: 500 for i in (*range(500, 540), 1000)}, **{i: 0 for i in range(21)}, 7777: 7777}
+
+
+def test_keywords_with_a_hot_term(spark, monkeypatch):
+    monkeypatch.setattr(skew, "HOT_ROWS", 2)
+    d = spark.createDataFrame([(i, ["hot", f"t{i % 3}", "hot"]) for i in range(30)] + [(99, None), (98, [])], "id long, toks array<string>")
+    vocab = tagging.vocabulary(d, "toks", 32, min_df=2, max_share=1.0)
+    got = {(r.id, r.term) for r in tagging.keywords(d, "id", "toks", vocab, least=0.0).collect()}
+    assert got == {(i, t) for i in range(30) for t in ("hot", f"t{i % 3}")}
+
+
+def test_authors(spark):
+    rows = [["Alice Smith, Bob Lee and Carla Diaz"], ["University Lab"], ["李小龙、王五"], ["John Smith", "john smith", "X"], None, [], ["Equal contribution John Smith"], ["{Ann} $x$"], ["Jean-Luc Picard*†", "a@b.c Mary Jane Watson"], [None]]
+    df = spark.createDataFrame(list(enumerate(rows)), "i int, a array<string>").orderBy("i")
+    got = [tuple(r) for r in df.select(people.clean_authors(F.col("a")), people.authors_look_wrong(F.col("a"))).collect()]
+    assert got == [
+        (["Alice Smith", "Bob Lee", "Carla Diaz"], False), ([], True), (["李小龙"], False), (["John Smith"], True), ([], False), ([], False), ([], True), ([], True), (["Jean-Luc Picard", "Mary Jane Watson"], False), ([], True),
+    ]
+    lines = ["Alice Smith, Bob Lee", "12 34", "Abstract We do", "see a@b.c", "the method works well here", None]
+    assert [r[0] for r in spark.createDataFrame(list(enumerate(lines)), "i int, t string").orderBy("i").select(people.author_line(F.col("t"))).collect()] == [True, False, False, False, False, False]
+
+
+def test_title_and_authors_of_a_page(spark):
+    schema = "k long, x0 double, y0 double, x1 double, y1 double, text string"
+    page = [(1, 100.0, 90.0, 500.0, 120.0, "a good title about small robots"), (1, 100.0, 130.0, 500.0, 150.0, "Alice Smith, Bob Lee, Carla Diaz"), (1, 100.0, 155.0, 500.0, 158.0, "University of Somewhere"),
+            (1, 100.0, 160.0, 500.0, 165.0, "Dora Known"), (1, 100.0, 200.0, 500.0, 600.0, "Abstract We do things"), (2, 0.0, 0.0, 10.0, 10.0, "12345678901234"), (3, 0.0, 0.0, 1.0, 1.0, None)]
+    b = spark.createDataFrame(page, schema)
+    stems = spark.createDataFrame([(1, "x"), (2, "2403.00001v1_my_paper"), (3, None)], "k long, stem string")
+    titles = people.title_block(b, "k", stems)
+    assert {tuple(r) for r in titles.collect()} == {(1, "a good title about small robots"), (2, "my paper")}
+    assert {(r.k, tuple(r.authors)) for r in people.page_authors(b, titles, "k").collect()} == {(1, ("Alice Smith", "Bob Lee", "Carla Diaz"))}
+    assert people.page_authors(b.limit(0), titles, "k").count() == 0 and people.title_block(b.limit(0), "k").count() == 0
+
+
+def test_dense_numbers(spark):
+    df = spark.range(1000, numPartitions=7).select((F.col("id") * 7919 % 1000).alias("x"), F.lit("clash").alias("n"))
+    assert library.numbered(df, "x").where("x = id").count() == 1000 and library.numbered(df.limit(0), "x").count() == 0
+
+
+def test_responses(spark):
+    rows = [(1, "bird eye view maps", "s", ["Tracking"], "bird eye view maps"), (2, None, "other name here", [], "sensor fusion of lidar"), (3, "t", "s", [], None)]
+    p = spark.createDataFrame(rows, "paper_id long, title string, stem string, mine array<string>, online string")
+    got = {r.paper_id: (r.status, r.similarity, r.suggestions) for r in validate.against_response(p, F.col("online"), F.col("online")).collect()}
+    assert got[1] == ("verified", 1.0, ["BEV Perception"]) and got[2][:2] == ("mismatch", 0.0) and got[3] == ("not_found", None, None)
+
+
 def test_windowed_counts(spark):
     ev = spark.read.parquet(f"{SF}/events.parquet")
     assert refresh.windowed_counts(ev.withColumn("ts", F.col("ts").cast("timestamp")), "ts", "1 hour", "10 minutes", "event_type").agg(F.sum("n")).first()[0] == ev.count()
@@ -198,23 +272,49 @@ def test_stored_is_deleted(spark):
     assert not os.path.exists(t.path)
 
 
-@pytest.mark.parametrize("name", [n for n in entry.queries() if not (n[0] == "p" and n[1].isdigit())])
+@pytest.mark.parametrize("name", [n for n in catalog.queries() if n not in catalog.oracle_sql()])
 def test_query_runs(spark, name):
-    df = entry.queries()[name](spark, SF)
-    assert df.columns and df.count() >= 0
+    """Queries without SQL: every paper has an answer."""
+    rows = entry.queries()[name](spark, SF).collect()
+    papers = spark.read.parquet(f"{SF}/library_papers.parquet").count()
+    assert (sum(r.n for r in rows) if "n" in rows[0] else len(rows)) == papers
+
+
+def values(rows):
+    return sorted(repr(tuple(round(v, 6) if isinstance(v, float) else v for v in r)) for r in rows)
 
 
-def test_same_as_sql(spark):
+@pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
+def test_same_as_sql(spark, name):
     import duckdb
 
     con = duckdb.connect()
     for t in ("library_papers", "scan_records", "bookmarks", "documents", "events"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
-    for name, sql in entry.oracle_sql().items():
-        want = con.execute(sql).fetchall()
-        assert len(want) == entry.queries()[name](spark, SF).count(), name
+    want = con.execute(catalog.oracle_sql()[name])
+    got = entry.queries()[name](spark, SF)
+    cols = [c[0] for c in want.description]
+    assert sorted(cols) == sorted(got.columns)
+    assert values(got.select(*cols).collect()) == values(want.fetchall())
 
 
 def test_url_key_is_idempotent(spark):
     b = spark.read.parquet(f"{SF}/bookmarks.parquet").select(C.url_key(F.col("url")).alias("k"))
     assert b.where(~F.contains("k", F.lit("#")) & (C.url_key(F.col("k")) != F.col("k")) & ~F.col("k").rlike(r"/+\z")).count() == 0
+
+
+def test_entry_without_the_llm_package(tmp_path):
+    """A package that can't be imported leaves the core's queries."""
+    import pathlib
+    import shutil
+    import subprocess
+    import sys
+
+    root = pathlib.Path(entry.__file__).parent
+    shutil.copytree(root / "lectern", tmp_path / "lectern")
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    (tmp_path / "lectern/llm").mkdir(exist_ok=True)
+    (tmp_path / "lectern/llm/__init__.py").write_text("")
+    (tmp_path / "lectern/llm/queries.py").write_text("import no_such_module\n")
+    out = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=tmp_path, capture_output=True, text=True, timeout=120)
+    assert out.stdout.split() == [str(len(catalog.queries())), str(len(catalog.oracle_sql()))]
