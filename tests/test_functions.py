@@ -104,9 +104,9 @@ def test_confidence_values(spark, make_papers):
 
 
 def test_authors(spark):
-    df = col(spark, [["Ada Lovelace, Alan Turing and ada lovelace"], ["University of X"], None, ["李雷"], ["{x}"]], "array<string>")
-    assert out(df, people.clean_authors(F.col("x"))) == [["Ada Lovelace", "Alan Turing"], [], [], ["李雷"], []]
-    assert out(df, people.authors_look_wrong(F.col("x"))) == [False, True, False, False, True]
+    df = col(spark, [["Ada Lovelace, Alan Turing and ada lovelace"], ["University of X"], None, ["李雷"], ["李小雷"], ["{x}"]], "array<string>")
+    assert out(df, people.clean_authors(F.col("x"))) == [["Ada Lovelace", "Alan Turing"], [], [], [], ["李小雷"], []]
+    assert out(df, people.authors_look_wrong(F.col("x"))) == [False, True, False, True, False, True]
 
 
 def test_title_block(spark):
